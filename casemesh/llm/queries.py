@@ -5,13 +5,52 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemesh.llm import neighbours, spans
+from casemesh.llm import lines, neighbours, spans
 from casemesh.plans.registry import Registry
 from casemesh.sources.tables import load
 
 REGISTRY = Registry()
 
 
+# Fixed values in the statement: full-width forms of ASCII signs, the signs; white space as the other engine's classes.
+_FULL = "".join(chr(c) for c in range(0xFF01, 0xFF5F))
+_SIGNS = "".join(chr(c) for c in range(0x21, 0x7F)).replace("'", "''")
+_LINES_SQL = f"""
+WITH d AS (SELECT DISTINCT id, replace(trim(unit_norm, ' \t\r\n　'), '台', '臺') AS unit, clean_text FROM decisions WHERE length(clean_text) > 0 AND unit_norm IS NOT NULL),
+l AS (SELECT id, unit, generate_subscripts(x, 1) AS line_no, unnest(x) AS line FROM (SELECT id, unit, string_split(replace(clean_text, chr(13) || chr(10), chr(10)), chr(10)) AS x FROM d)),
+s AS (SELECT id, unit, line_no, translate(regexp_replace(line, '[\\s\\x0b\\x1c-\\x1f\\x85\\p{{Z}}]+', '', 'g'), '{_FULL}', '{_SIGNS}') AS signs FROM l),
+u AS (SELECT unit, count(*) AS documents FROM d GROUP BY unit),
+n AS (SELECT unit, signs, count(DISTINCT id) AS n FROM s WHERE length(signs) >= 8 GROUP BY ALL HAVING n >= 5)
+"""
+
+
+def _rulings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return load(spark, sf_dir, "decisions").select("id", F.col("unit_norm").alias("unit"), F.col("clean_text").alias("text"))
+
+
+@REGISTRY.query(
+    "p1_found",
+    _LINES_SQL + "SELECT s.id AS decision_id, s.line_no FROM s JOIN n USING (unit, signs) JOIN u USING (unit) WHERE n.n >= 0.04 * u.documents",
+)
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lines.repeated_lines(_rulings(spark, sf_dir))[0].select(F.col("id").alias("decision_id"), "line_no")
+
+
+@REGISTRY.query(
+    "p1_units",
+    _LINES_SQL + "SELECT unit, count(*) AS n_lines, CAST(sum(n.n) AS BIGINT) AS n_occurrences FROM n JOIN u USING (unit) WHERE n.n >= 0.04 * u.documents GROUP BY unit",
+)
+def p1_units(spark: SparkSession, sf_dir: str) -> DataFrame:
+    blocks = lines.repeated_lines(_rulings(spark, sf_dir))[1]
+    return blocks.groupBy("unit").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n").alias("n_occurrences"))
+
+
+@REGISTRY.query("p1_clean_text")
+def p1_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rulings = _rulings(spark, sf_dir)
+    return lines.without_lines(rulings, lines.repeated_lines(rulings)[0])
+
+
 @REGISTRY.query("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.mutual_pairs(neighbours.nearest(load(spark, sf_dir, "chunks")))
