@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemesh.llm import lines, neighbours, spans
+from casemesh.llm import lines, neighbours, pieces, spans
 from casemesh.plans.registry import Registry
 from casemesh.sources.tables import load
 
@@ -51,6 +51,27 @@ def p1_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lines.without_lines(rulings, lines.repeated_lines(rulings)[0])
 
 
+@REGISTRY.query(
+    "p3_found",
+    """
+WITH i AS (SELECT DISTINCT 'decisions' AS item_table, id AS item_id, clean_text AS x FROM decisions WHERE length(clean_text) > 2000
+ UNION SELECT DISTINCT 'chunks', id, chunk_text FROM chunks WHERE length(chunk_text) > 2000)
+SELECT item_table, item_id, CASE WHEN list_max(list_transform(string_split(translate(x, chr(13) || '。！？；', chr(10) || chr(10) || chr(10) || chr(10) || chr(10)), chr(10)), lambda r: length(r))) > 2000
+ THEN 'forced' ELSE 'natural' END AS cut_kind FROM i
+""",
+)
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    items = pieces.oversized(load(spark, sf_dir, "decisions"), load(spark, sf_dir, "chunks"))
+    return pieces.cut_kinds(pieces.pieces(items).drop("piece_text"))
+
+
+@REGISTRY.query("p3_pieces")
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d, k, c = (load(spark, sf_dir, t) for t in ("decisions", "chunks", "citations"))
+    out = pieces.with_citations(pieces.pieces(pieces.oversized(d, k)), k, c)
+    return out.withColumn("citation_ids", F.concat_ws(",", F.transform("citation_ids", lambda x: x.cast("string"))))
+
+
 @REGISTRY.query("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours.mutual_pairs(neighbours.nearest(load(spark, sf_dir, "chunks")))
