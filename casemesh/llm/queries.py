@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemesh.llm import lines, neighbours, pieces, spans
+from casemesh.llm import lines, mixing, neighbours, packing, pieces, spans
 from casemesh.plans.registry import Registry
 from casemesh.sources.tables import load
 
@@ -101,3 +101,23 @@ def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("p7_stretches")
 def p7_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spans.shared_stretches(_windows(spark, sf_dir)[0])
+
+
+@REGISTRY.query("p8_bins")
+def p8_bins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.filled(load(spark, sf_dir, "documents"))
+
+
+@REGISTRY.query("p8_fill")
+def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return packing.fill_report(packing.filled(load(spark, sf_dir, "documents")))
+
+
+@REGISTRY.query("p9_mix")
+def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[0]
+
+
+@REGISTRY.query("p9_shares")
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mixed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
