@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemesh.llm import lines, mixing, neighbours, packing, pieces, spans
+from casemesh.llm import lines, mixing, neighbours, packing, pieces, spans, stuffing
 from casemesh.plans.registry import Registry
 from casemesh.sources.tables import load
 
@@ -121,3 +121,14 @@ def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("p9_shares")
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mixed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
+
+
+@REGISTRY.query("p10_found")
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stuffing.stuffed_pages(load(spark, sf_dir, "documents")).select("doc_id")
+
+
+@REGISTRY.query("p10_scores")
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    s = stuffing.stuffing(load(spark, sf_dir, "documents"))
+    return s.select("doc_id", *[F.round(c, 4).alias(c) for c in ("stuffed", "information", "repetition")])
