@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemesh.llm import lines, mixing, neighbours, packing, pieces, spans, stuffing
+from casemesh.llm import lines, mixing, neighbours, packing, pieces, private, spans, stuffing
 from casemesh.plans.registry import Registry
 from casemesh.sources.tables import load
 
@@ -132,3 +132,14 @@ def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     s = stuffing.stuffing(load(spark, sf_dir, "documents"))
     return s.select("doc_id", *[F.round(c, 4).alias(c) for c in ("stuffed", "information", "repetition")])
+
+
+@REGISTRY.query("p4_found")
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    records = private.texts(load(spark, sf_dir, "decisions"), load(spark, sf_dir, "citations"))
+    return private.personal_spans(records).where(F.col("info_type").isin("email", "phone", "idno", "address", "name"))
+
+
+@REGISTRY.query("p4_masked")
+def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return private.without_personal(private.texts(load(spark, sf_dir, "decisions"), load(spark, sf_dir, "citations")))
