@@ -1,0 +1,134 @@
+"""Courts by the name of the folder that a ruling was delivered in."""
+
+from __future__ import annotations
+
+import re
+from dataclasses import dataclass
+
+# Summary court, its court, county, district.
+SUMMARY_COURTS = """
+三重簡易庭 臺灣新北地方法院 新北市 三重區
+中壢簡易庭 臺灣桃園地方法院 桃園市 中壢區
+內湖簡易庭 臺灣士林地方法院 臺北市 內湖區
+北斗簡易庭 臺灣彰化地方法院 彰化縣 田尾鄉
+北港簡易庭 臺灣雲林地方法院 雲林縣 北港鎮
+南投簡易庭 臺灣南投地方法院 南投縣 名間鄉
+員林簡易庭 臺灣彰化地方法院 彰化縣 員林市
+嘉義簡易庭 臺灣嘉義地方法院 嘉義市 東區
+士林簡易庭 臺灣士林地方法院 臺北市 士林區
+宜蘭簡易庭 臺灣宜蘭地方法院 宜蘭縣 宜蘭市
+屏東簡易庭 臺灣屏東地方法院 屏東縣 屏東市
+岡山簡易庭 臺灣橋頭地方法院 高雄市 岡山區
+彰化簡易庭 臺灣彰化地方法院 彰化縣 和美鎮
+斗六簡易庭 臺灣雲林地方法院 雲林縣 斗六市
+新市簡易庭 臺灣臺南地方法院 臺南市 新市區
+新店簡易庭 臺灣臺北地方法院 新北市 新店區
+旗山簡易庭 臺灣橋頭地方法院 高雄市 旗山區
+板橋簡易庭 臺灣新北地方法院 新北市 板橋區
+柳營簡易庭 臺灣臺南地方法院 臺南市 柳營區
+桃園簡易庭 臺灣桃園地方法院 桃園市 桃園區
+橋頭簡易庭 臺灣橋頭地方法院 高雄市 橋頭區
+沙鹿簡易庭 臺灣臺中地方法院 臺中市 沙鹿區
+潮州簡易庭 臺灣屏東地方法院 屏東縣 潮州鎮
+竹北簡易庭 臺灣新竹地方法院 新竹縣 竹北市
+羅東簡易庭 臺灣宜蘭地方法院 宜蘭縣 五結鄉
+臺中簡易庭 臺灣臺中地方法院 臺中市 西區
+臺北簡易庭 臺灣臺北地方法院 臺北市 中正區
+臺南簡易庭 臺灣臺南地方法院 臺南市 安平區
+臺東簡易庭 臺灣臺東地方法院 臺東縣 臺東市
+花蓮簡易庭 臺灣花蓮地方法院 花蓮縣 花蓮市
+虎尾簡易庭 臺灣雲林地方法院 雲林縣 虎尾鎮
+豐原簡易庭 臺灣臺中地方法院 臺中市 潭子區
+金城簡易庭 福建金門地方法院 金門縣 金城鎮
+馬公簡易庭 臺灣澎湖地方法院 澎湖縣 馬公市
+高雄簡易庭 臺灣高雄地方法院 高雄市 前金區
+鳳山簡易庭 臺灣高雄地方法院 高雄市 鳳山區
+"""
+# District court, county, district.
+DISTRICT_COURTS = """
+臺灣臺北地方法院 臺北市 中正區
+臺灣士林地方法院 臺北市 士林區
+臺灣新北地方法院 新北市 土城區
+臺灣桃園地方法院 桃園市 桃園區
+臺灣新竹地方法院 新竹縣 竹北市
+臺灣苗栗地方法院 苗栗縣 苗栗市
+臺灣臺中地方法院 臺中市 西區
+臺灣彰化地方法院 彰化縣 員林市
+臺灣南投地方法院 南投縣 南投市
+臺灣雲林地方法院 雲林縣 虎尾鎮
+臺灣嘉義地方法院 嘉義市 東區
+臺灣臺南地方法院 臺南市 安平區
+臺灣橋頭地方法院 高雄市 橋頭區
+臺灣高雄地方法院 高雄市 前金區
+臺灣屏東地方法院 屏東縣 屏東市
+臺灣臺東地方法院 臺東縣 臺東市
+臺灣花蓮地方法院 花蓮縣 花蓮市
+臺灣宜蘭地方法院 宜蘭縣 宜蘭市
+臺灣基隆地方法院 基隆市 信義區
+臺灣澎湖地方法院 澎湖縣 馬公市
+福建金門地方法院 金門縣 金城鎮
+福建連江地方法院 連江縣 南竿鄉
+"""
+# Courts of one place: word in the name, unit, county, district, level.
+SINGLE_COURTS = (
+    ("憲法法庭", "憲法法庭", "臺北市", "中正區", 0),
+    ("最高行政法院", "最高行政法院", "臺北市", "中正區", 1),
+    ("最高法院", "最高法院", "臺北市", "中正區", 1),
+    ("智慧財產及商業法院", "智慧財產及商業法院", "新北市", "板橋區", 2),
+)
+# City of a high administrative court, county, district; branch of the high court, county.
+ADMINISTRATIVE_CITIES = {"臺北": ("臺北市", "中正區"), "臺中": ("臺中市", "西區"), "高雄": ("高雄市", "前金區")}
+BRANCHES = {"臺中": "臺中市", "臺南": "臺南市", "花蓮": "花蓮縣", "高雄": "高雄市", "金門": "金門縣"}
+JUVENILE_COURT = ("臺灣高雄少年及家事法院", "高雄市", "楠梓區")
+
+
+@dataclass(frozen=True)
+class Court:
+    unit_norm: str
+    court_root_norm: str
+    county: str | None
+    district: str | None
+    level: int
+    case_type: str | None
+
+
+def _table(text: str) -> dict[str, tuple[str, ...]]:
+    return {row[0]: tuple(row[1:]) for row in map(str.split, text.split("\n")) if row}
+
+
+_SUMMARY, _DISTRICT = _table(SUMMARY_COURTS), _table(DISTRICT_COURTS)
+
+
+def court_of_folder(name: str | None) -> Court | None:
+    """The court and case type that a folder's name says; None if it names no known court."""
+    if not name:
+        return None
+    tail = re.search(r"(民事|刑事|行政|憲法|家事)$", name)
+    kind = {"家事": "民事"}.get(tail[1], tail[1]) if tail else None
+    court = name[: tail.start()] if tail else name
+
+    def made(unit: str, root: str, county: str | None, district: str | None, level: int) -> Court:
+        return Court(unit, root, county, district, level, kind)
+
+    for word, unit, county, district, level in SINGLE_COURTS:
+        if word in court:
+            return made(unit, unit, county, district, level)
+    if "高等行政法院" in court:
+        city = next((c for c in ADMINISTRATIVE_CITIES if c + "高等行政法院" in court), None)
+        if city is None:
+            return None
+        root = city + "高等行政法院"
+        return made(root + "地方庭", root, *ADMINISTRATIVE_CITIES[city], 3) if "地方庭" in court else made(root, root, *ADMINISTRATIVE_CITIES[city], 2)
+    if "高等法院" in court:
+        branch = re.search(r"高等法院(.+)分院", court)
+        return made(court, court, BRANCHES.get(branch[1], "未知") if branch else "臺北市", None, 2)
+    if "少年及家事法院" in court:
+        unit, county, district = JUVENILE_COURT
+        return made(unit, unit, county, district, 3) if court == unit else None
+    if "簡易庭" in court:
+        court = re.sub(r"\(含.+\)", "", court)
+        found = _SUMMARY.get(court)
+        return made(found[0] + court, found[0], found[1], found[2], 4) if found else None
+    if "地方法院" in court and court in _DISTRICT:
+        return made(court, court, *_DISTRICT[court], 3)
+    return None
