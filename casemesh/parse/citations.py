@@ -123,10 +123,29 @@ def _ruling(m: re.Match, court: str, first: int, short: bool) -> tuple[Proposal,
     return p, said
 
 
+_DOCKET_SCAN = re.compile(_DOCKET.removeprefix(r"\s*"))
+
+
+def _full(text: str, at: int) -> re.Match | None:
+    """The next citation with a court's name. Dockets are looked for first, as they are rare and quick to find; a court's
+    name can only stand in the unbroken run of Han signs before one."""
+    for docket in _DOCKET_SCAN.finditer(text, at):
+        i = docket.start()
+        while i > at and text[i - 1].isspace():
+            i -= 1
+        if i > at and text[i - 1] == "）":
+            i = max(text.rfind("（", max(at, i - 12), i), at)
+        while i > at and "\u4e00" <= text[i - 1] <= "\u9fff":
+            i -= 1
+        if m := FULL.search(text, i, docket.end()):
+            return FULL.match(text, m.start())
+    return None
+
+
 def _chains(text: str, own_court: str, targets: frozenset[str]) -> Iterator[list[tuple[Proposal, str | None, bool]]]:
     """Chains of proposals of target courts, each with the type it says and whether it may pass a type on."""
     at = 0
-    while head := FULL.search(text, at):
+    while head := _full(text, at):
         court = court_name(head[1])
         court = own_court if court == "本院" else court
         at = head.end()
@@ -220,8 +239,9 @@ def proposals(text: str | None, own_court: str, targets: frozenset[str] = TARGET
     if not text:
         return []
     found = rulings(text, own_court or "", targets)
-    for scan in (_resolutions, _joint, _interpretations, _conferences, _opinions):
-        found += scan(text, own_court or "")
+    for word, scan in (("決議", _resolutions), ("聯席會議", _joint), ("釋字第", _interpretations), ("法律座談會", _conferences), ("研審小組", _opinions)):
+        if word in text:
+            found += scan(text, own_court or "")
     return found
 
 
