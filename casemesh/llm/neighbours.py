@@ -22,7 +22,7 @@ from casemesh.operators.durable import cut
 #: Classes up to which one rotation is enough; above, the number of cells grows with the collection.
 ONE_ROTATION = 256_000
 #: By the second rotation's cells: cells that each vector stands in, tables. Measured recall at 5: see the README.
-PROBES_TABLES = {1: (2, 10), 4: (4, 6), 16: (8, 6), 64: (8, 8)}
+PROBES_TABLES = {1: (2, 10), 4: (4, 4), 16: (8, 4), 64: (8, 6)}
 #: A cell with more members is compared by several tasks, each with all members but its own part of the queries.
 CELL_MEMBERS = 8192
 #: Axes that are considered for multiprobe.
@@ -67,6 +67,24 @@ def _unit(column: pa.Array, dim: int) -> np.ndarray:
     return x / np.linalg.norm(x, axis=1)[:, None]
 
 
+def _all_cells(rows: np.ndarray, second: int, probes: int, tables: int) -> np.ndarray:
+    """The cells of padded unit vectors in all tables, numbered through."""
+    return np.concatenate([cells(rows, t, second, probes) + t * 2 * rows.shape[1] * second for t in range(tables)], axis=1)
+
+
+def _sizes(batches: Iterator[pa.RecordBatch], dim: int, second: int, probes: int, tables: int) -> Iterator[pa.RecordBatch]:
+    """(rep, embedding) to the numbers of members by cell, added up over a split."""
+    width = 1 << max(0, dim - 1).bit_length()
+    total = np.zeros(2 * width * second * tables, dtype=np.int64)
+    for batch in batches:
+        if batch.num_rows:
+            rows = np.zeros((batch.num_rows, width), dtype=np.float32)
+            rows[:, :dim] = _unit(batch.column(1), dim).astype(np.float32)
+            total += np.bincount(_all_cells(rows, second, probes, tables).ravel(), minlength=len(total))
+    used = np.flatnonzero(total)
+    yield pa.RecordBatch.from_arrays([pa.array(used), pa.array(total[used])], names=["cell", "n"])
+
+
 def _place(batches: Iterator[pa.RecordBatch], dim: int, second: int, probes: int, tables: int) -> Iterator[pa.RecordBatch]:
     """(rep, embedding) to a row per table and cell; the vector as 32-bit floats."""
     width = 1 << max(0, dim - 1).bit_length()
@@ -77,8 +95,7 @@ def _place(batches: Iterator[pa.RecordBatch], dim: int, second: int, probes: int
         x = _unit(batch.column(1), dim).astype(np.float32)
         rows = np.zeros((n, width), dtype=np.float32)
         rows[:, :dim] = x
-        codes = [cells(rows, t, second, probes) for t in range(tables)]
-        each = np.concatenate([c + t * 2 * width * second for t, c in enumerate(codes)], axis=1)
+        each = _all_cells(rows, second, probes, tables)
         copies = each.shape[1]
         vectors = np.repeat(x, copies, axis=0)
         yield pa.RecordBatch.from_arrays(
@@ -144,11 +161,11 @@ def nearest(chunks: DataFrame, k: int = 5, dim: int = 64) -> DataFrame:
     while second < 64 and n > ONE_ROTATION * second:
         second *= 4
     probes, tables = PROBES_TABLES[second]
-    placed = reps.select("rep", "embedding").mapInArrow(
-        lambda b: _place(b, dim, second, probes, tables), "cell long, rep long, vector binary"
-    )
-    placed = cut(placed)
-    sizes = placed.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / CELL_MEMBERS).cast("int").alias("parts"))
+    vectors = reps.select("rep", "embedding")
+    placed = vectors.mapInArrow(lambda b: _place(b, dim, second, probes, tables), "cell long, rep long, vector binary")
+    # counted by themselves: writing the placed vectors to count them would cost more than placing them twice
+    counted = vectors.mapInArrow(lambda b: _sizes(b, dim, second, probes, tables), "cell long, n long")
+    sizes = counted.groupBy("cell").agg(F.ceil(F.sum("n") / CELL_MEMBERS).cast("int").alias("parts"))
     # at most 2 * 64 * dim * tables rows: one per cell
     crowded = F.broadcast(sizes.where("parts > 1"))
     split = (
