@@ -55,11 +55,11 @@ class CitationEngine:
     def _statutes(self) -> DataFrame:
         return load(self.spark, self.folder, "citation_snippet_statutes").distinct()
 
-    def windows(self) -> DataFrame:
-        """The pair table: read, if it was written, else made."""
+    def windows(self, sources: DataFrame) -> DataFrame:
+        """The pair table: read, if it was written, else made of these sources' edges."""
         if self._windows_path:
             return self.spark.read.parquet(self._windows_path)
-        return windows.windows(self._edges, self._records, self._statutes)
+        return windows.windows(self._edges.join(sources, "source_id", "left_semi"), self._records, self._statutes)
 
     def _found(self, spec: SearchSpec) -> tuple[str, DataFrame, DataFrame]:
         spec = recall.checked(spec)
@@ -69,7 +69,7 @@ class CitationEngine:
             edges = load(self.spark, self.folder, "citations").select("id", "source_id").distinct()
             entry = self.cache.put(key, recall.recalled(load(self.spark, self.folder, "decisions"), edges, self._statutes, spec))
         if entry.rankings is None:
-            pairs = ranking.matched_pairs(self.windows(), entry.sources, spec)
+            pairs = ranking.matched_pairs(self.windows(entry.sources), entry.sources, spec)
             uid = windows.with_target_uid(self._edges.drop("snippet"), self._records)
             authorities = load(self.spark, self.folder, "authorities")
             self.cache.update(key, ranking.ranked_targets(ranking.step_down(pairs, spec), uid, entry.sources, self._records, authorities))

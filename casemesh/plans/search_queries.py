@@ -10,6 +10,7 @@ from casemesh.operators import preview as V
 from casemesh.operators import ranking as R
 from casemesh.operators import recall as P
 from casemesh.operators import windows as Wd
+from casemesh.operators.durable import cut
 from casemesh.operators.recall import SearchSpec, StatuteFilter
 from casemesh.plans.graph_queries import PRE, tables, thin
 from casemesh.plans.registry import Registry
@@ -166,7 +167,8 @@ def source_statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _pairs(spark: SparkSession, sf_dir: str, spec: SearchSpec, recall: SearchSpec) -> tuple[DataFrame, ...]:
     c, d, s = _graph(spark, sf_dir)
-    sources = _sources(spark, sf_dir, recall)
+    sources = cut(_sources(spark, sf_dir, recall))  # read several times, and much smaller than what it is found in
+    c = c.join(sources, "source_id", "left_semi")  # only these sources' edges are made into windows
     return R.matched_pairs(Wd.windows(c, d, s), sources, spec), sources, c, d, s
 
 
@@ -221,8 +223,6 @@ def rank_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def numbered(rows: DataFrame) -> DataFrame:
     """Adds position to sorted rows: the counts of the partitions before, of which there are few, plus the place inside."""
-    from casemesh.operators.durable import cut
-
     part = cut(rows.withColumn("part", F.spark_partition_id()).withColumn("at", F.monotonically_increasing_id()))
     from pyspark.sql import Window
 
