@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemesh.llm import lines, mixing, neighbours, packing, pieces, private, spans, stuffing
+from casemesh.llm import lines, mixing, neighbours, packing, pieces, private, spans, stuffing, tokens
 from casemesh.plans.registry import Registry
 from casemesh.sources.tables import load
 
@@ -143,3 +143,21 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("p4_masked")
 def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.without_personal(private.texts(load(spark, sf_dir, "decisions"), load(spark, sf_dir, "citations")))
+
+
+def _all_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    """As many tokens as the named sources hold; sources that run out fall short of their share."""
+    documents, targets = load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets")
+    named = documents.join(targets.select(mixing.source_name(F.col("source")).alias("s")).distinct(), mixing.source_name(F.col("source")) == F.col("s"), "left_semi")
+    total = tokens.token_counts(named).agg(F.sum("n_tokens")).first()[0] or 0
+    return mixing.mixed(documents, targets, total)
+
+
+@REGISTRY.query("p9_mix_all")
+def p9_mix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_tokens(spark, sf_dir)[0]
+
+
+@REGISTRY.query("p9_shares_all")
+def p9_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _all_tokens(spark, sf_dir)[1]
