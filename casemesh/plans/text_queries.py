@@ -12,7 +12,7 @@ from casemesh.operators import extract as E
 from casemesh.operators.ingest import prepared
 from casemesh.parse import chunks as K
 from casemesh.parse import citations as C
-from casemesh.parse import marks, statutes
+from casemesh.parse import marks, reasonings, statutes
 from casemesh.plans.graph_queries import PRE, tables, thin
 from casemesh.plans.registry import Registry
 from casemesh.sources.tables import load
@@ -283,3 +283,13 @@ def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
 def answer_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = '<h3>爭點</h3>依<cite type="target" id="12">甲案</cite>及<statute law="民法" article="184">民法第184條</statute>'
     return spark.createDataFrame(marks.answer_tags(text), "kind string, name string, key string, label string")
+
+
+@q("legacy_chunks")
+def legacy_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reasonings of the two supreme courts in chunks."""
+    d = load(spark, sf_dir, "decisions").where("jid is not null and root_norm in ('最高法院', '最高行政法院')").where(F.length("clean_text") > reasonings.LEAST_TEXT)
+    rows = lambda t: [dict(zip(("chunk_index", "start_offset", "end_offset"), c, strict=True)) for c in reasonings.reasoning_chunks(t)]
+    parts = E.text_function(rows, "array<struct<chunk_index:int,start_offset:int,end_offset:int>>")
+    chunks = d.select("id", "clean_text").dropDuplicates(["id"]).select("id", "clean_text", F.inline(parts(F.col("clean_text"))))
+    return chunks.select(F.col("id").alias("decision_id"), "chunk_index", "start_offset", "end_offset", F.expr("trim(substring(clean_text, start_offset + 1, end_offset - start_offset))").alias("chunk_text"))

@@ -211,3 +211,12 @@ def test_batch_and_stream(spark, tmp_path):
     query.awaitTermination()
     assert spark.read.parquet(str(tmp_path / "out/citations")).count() == 1
     assert spark.read.parquet(str(tmp_path / "out/errors")).count() == 3
+
+
+def test_no_citation_is_proposed_that_isnt_one(spark, data):
+    """On the rulings' own texts every proposal is an edge of the table."""
+    from casemesh.plans.text_queries import _own_courts, _rulings
+
+    found = {(r.id, r.match_start) for r in extract.proposals(_rulings(spark, data), _own_courts(spark, data)).select("id", "match_start").collect()}
+    edges = {(r.source_id, r.match_start) for r in spark.read.parquet(f"{data}/citations.parquet").collect()}
+    assert found and found <= edges

@@ -6,7 +6,7 @@ from hypothesis import strategies as st
 
 from casemesh.parse import chunks as K
 from casemesh.parse import citations as C
-from casemesh.parse import cleaner, courts, marks, statutes
+from casemesh.parse import cleaner, courts, marks, reasonings, statutes
 
 HEAD = "主文\r\n被告應給付。\r\n理由\r\n"
 OWN = "台灣台北地方法院"
@@ -148,3 +148,16 @@ def test_marks():
     assert marks.highlights("ABC民法abc", ["abc"], ["民法"]) == [(0, 3, "keyword"), (3, 5, "statute"), (5, 8, "keyword")]
     assert marks.highlights(None, ["a"], []) == [] and marks.highlights("a", [], []) == []
     assert marks.answer_tags('x<cite type="source" id="3">y</cite>') == [("cite", "source", "3", "y")]
+
+
+def test_reasonings():
+    head = "主文\n駁回。\n理由\n" + "前" * 300 + "\n經查，" + "甲乙。" * 10
+    items = "".join(f"\n{n}、" + "丙丁戊。" * 350 for n in "一二三")
+    text = head + items + "\n中　華　民　國"
+    parts = reasonings.reasoning_chunks(text)
+    assert text[parts[0][1] :].startswith("經查") and text[parts[-1][2] :].strip().startswith("中")
+    assert all(150 <= b - a <= 2000 for _, a, b in parts)
+    assert [x[1:] for x in parts][1:] == [(b, d) for (_, _, b), (_, _, d) in zip(parts, parts[1:], strict=False)]
+    assert reasonings.reasoning_chunks("短") == [] and reasonings.reasoning_chunks(None) == []
+    long = "經查" + "字" * 6000
+    assert [b - a for _, a, b in reasonings.reasoning_chunks(long)] == [2000, 2000, 2000] and len(long) == 6002
