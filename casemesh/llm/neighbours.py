@@ -22,7 +22,7 @@ from casemesh.operators.durable import cut
 #: Classes up to which one rotation is enough; above, the number of cells grows with the collection.
 ONE_ROTATION = 256_000
 #: By the second rotation's cells: cells that each vector stands in, tables. Measured recall at 5: see the README.
-PROBES_TABLES = {1: (2, 10), 4: (4, 4), 16: (8, 4), 64: (8, 6)}
+PROBES_TABLES = {1: (2, 10), 4: (4, 8), 16: (8, 6), 64: (8, 8)}
 #: A cell with more members is compared by several tasks, each with all members but its own part of the queries.
 CELL_MEMBERS = 8192
 #: Axes that are considered for multiprobe.

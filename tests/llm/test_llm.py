@@ -199,6 +199,29 @@ def test_cells_are_distinct(second):
     assert c.max() < 128 * second and all(len(set(r)) == len(r) for r in c)
 
 
+@pytest.mark.parametrize("second", [4, 16, 64])
+def test_recall_of_large_collections(second):
+    rng = np.random.default_rng(6)
+    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
+    n = neighbours.ONE_ROTATION + 4000
+    topics = unit(rng.normal(size=(64, 64)).astype(np.float32))
+    x = unit(unit(rng.normal(size=(n, 64)).astype(np.float32)) + 0.85 * topics[np.arange(n) % 64])
+    at = np.arange(0, n, 1000)
+    near = []
+    for i in at:
+        s = x @ x[i]
+        s[i] = -1
+        near.append(np.argpartition(-s, 5)[:5])
+    others = np.stack(near)
+    found = np.zeros(others.shape, dtype=bool)
+    probes, tables = neighbours.PROBES_TABLES[second]
+    for t in range(tables):
+        own = neighbours.cells(x[at], t, second, probes)
+        cells = neighbours.cells(x[others.ravel()], t, second, probes).reshape(*others.shape, -1)
+        found |= (own[:, None, :, None] == cells[:, :, None, :]).any((2, 3))
+    assert found.mean() >= 0.99
+
+
 # --- spans -----------------------------------------------------------------------------------------------------------
 
 
