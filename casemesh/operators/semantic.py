@@ -2,10 +2,14 @@
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+import pyarrow as pa
+import pyarrow.compute as pc
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 TOP, BEST = 50, 5
+#: Queries that are compared at once with a batch of rows.
+QUERY_BLOCK = 128
 
 
 def norm(v: Column) -> Column:
@@ -102,25 +106,68 @@ def rollup(chunks: DataFrame) -> DataFrame:
     )
 
 
-def query_similarities(vectors: DataFrame, queries: dict[int, tuple[list[float], int]]) -> DataFrame:
-    """(query_id, id, related, similarity): a stated set of queries {id: (vector, label)} against all rows (id, label, embedding)."""
-    ids = list(queries)
-    sims = cosines(np.asarray([queries[i][0] for i in ids]))
-    label = F.create_map(*[F.lit(x) for i in ids for x in (i, queries[i][1])])
-    names = F.array(*[F.lit(i).cast("long") for i in ids])
-    each = vectors.withColumn("s", F.explode(F.arrays_zip(names.alias("query_id"), sims(F.col("embedding")).alias("similarity"))))
-    return each.select(F.col("s.query_id").alias("query_id"), "id", (F.col("label") == label[F.col("s.query_id").cast("int")]).alias("related"), F.col("s.similarity").alias("similarity")).where("query_id <> id")
+def _usable(column: pa.Array, dim: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length one, and which of them come from a vector of dim numbers that isn't zero."""
+    ok = pc.fill_null(pc.equal(pc.list_value_length(column), dim), False).to_numpy(zero_copy_only=False).astype(bool)
+    x = np.zeros((len(column), dim))
+    x[ok] = np.asarray(column.filter(pa.array(ok)).flatten().to_numpy(zero_copy_only=False), dtype=np.float64).reshape(-1, dim)
+    n = np.linalg.norm(x, axis=1)
+    ok &= np.isfinite(n) & (n > 0)
+    return np.where(ok[:, None], x, 0) / np.where(ok, n, 1)[:, None], ok
 
 
-def gaps(similarities: DataFrame) -> DataFrame:
-    """(query_id, gap): mean similarity of related minus that of unrelated rows."""
-    mean = lambda cond: F.avg(F.when(cond, F.col("similarity")))
-    return similarities.groupBy("query_id").agg((mean(F.col("related")) - mean(~F.col("related"))).alias("gap"))
+def _labels(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    return pc.fill_null(column, 0).to_numpy(zero_copy_only=False), column.is_valid().to_numpy(zero_copy_only=False)
 
 
-def recall_at(similarities: DataFrame, k: int = BEST) -> DataFrame:
-    """(query_id, recall): related rows among the first k, of all related ones."""
-    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 6)), "id")
-    hits = similarities.withColumn("k", F.row_number().over(order)).where(F.col("k") <= k).groupBy("query_id").agg(F.count_if("related").alias("hits"))
-    n = similarities.groupBy("query_id").agg(F.count_if("related").alias("n"))
-    return n.join(hits, "query_id").select("query_id", (F.col("hits") / F.col("n")).alias("recall"))
+def label_measures(vectors: DataFrame, queries: DataFrame, dim: int = 64, k: int = BEST) -> DataFrame:
+    """(query_id, gap, recall) of queries against all rows but themselves, both (id, label, embedding).
+
+    gap: mean cosine of the rows with the query's label minus that of the others. recall: rows with its label among the first k
+    (ties, to six digits, by id), of all such rows. The queries lie in memory as arrays, of any number, and are compared in blocks;
+    a task keeps sums and its first k rows by query.
+    """
+    t = queries.where("id is not null").select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "embedding").dropDuplicates(["id"]).toArrow().combine_chunks()
+    one = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns]
+    q_id = one[0].to_numpy(zero_copy_only=False)
+    (q_label, q_known), (q, q_ok) = _labels(one[1]), _usable(one[2], dim)
+
+    def parts(batches):
+        for batch in batches:
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
+            (label, known), (x, ok) = _labels(batch.column(1)), _usable(batch.column(2), dim)
+            for s in range(0, len(q_id) if len(ids) else 0, QUERY_BLOCK):
+                b = slice(s, s + QUERY_BLOCK)
+                sim = q[b] @ x.T
+                other = q_id[b][:, None] != ids
+                same = q_label[b][:, None] == label
+                judged = other & q_known[b][:, None] & known
+                use = other & q_ok[b][:, None] & ok
+                far = np.where(use, -np.round(sim, 6), np.inf)
+                last = np.partition(far, k - 1, axis=1)[:, k - 1] if k < len(ids) else np.full(len(far), np.inf)
+                top = []
+                for i in range(len(far)):
+                    at = np.flatnonzero(use[i] & (far[i] <= last[i]))
+                    at = at[np.lexsort((ids[at], far[i, at]))[:k]]
+                    top.append([{"far": float(far[i, j]), "id": int(ids[j]), "related": bool(judged[i, j] and same[i, j])} for j in at])
+                near, rest = judged & same, judged & ~same
+                yield pa.RecordBatch.from_pydict(
+                    {
+                        "query_id": q_id[b],
+                        "related": near.sum(1),
+                        "n_near": (near & use).sum(1),
+                        "near": np.where(near & use, sim, 0).sum(1),
+                        "n_rest": (rest & use).sum(1),
+                        "rest": np.where(rest & use, sim, 0).sum(1),
+                        "top": pa.array(top, pa.list_(pa.struct([("far", pa.float64()), ("id", pa.int64()), ("related", pa.bool_())]))),
+                    }
+                )
+
+    kind = "query_id long, related long, n_near long, near double, n_rest long, rest double, top array<struct<far:double,id:long,related:boolean>>"
+    rows = vectors.where("id is not null").select(F.col("id").cast("long").alias("id"), F.col("label").cast("long").alias("label"), "embedding")
+    sums = [F.sum(c).alias(c) for c in ("related", "n_near", "near", "n_rest", "rest")]
+    of = rows.mapInArrow(parts, kind).groupBy("query_id").agg(*sums, F.slice(F.array_sort(F.flatten(F.collect_list("top"))), 1, k).alias("top"))
+    hits = F.size(F.filter("top", lambda r: r["related"]))
+    return of.select(
+        "query_id", (F.try_divide("near", "n_near") - F.try_divide("rest", "n_rest")).alias("gap"), F.try_divide(hits, F.col("related")).alias("recall")
+    )

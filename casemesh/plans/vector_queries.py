@@ -100,10 +100,9 @@ def chunk_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("targets", F.array_join(F.transform("targets", lambda x: x.cast("string")), ","))
 
 
-def _similarities(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _measures(spark: SparkSession, sf_dir: str, queries: str) -> DataFrame:
     e = load(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), "embedding", "label")
-    queries = {r["id"]: (list(r["embedding"]), r["label"]) for r in e.where("id < 20").collect()}  # a stated set of queries
-    return E.query_similarities(e, queries)
+    return E.label_measures(e, e.where(queries))
 
 
 _SIM = "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS related, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND a.vec_id <> b.vec_id)\n"
@@ -111,12 +110,27 @@ _SIM = "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.labe
 
 @q("embed_gap", _SIM + "SELECT query_id, round(avg(similarity) FILTER (related) - avg(similarity) FILTER (NOT related), 4) AS gap FROM s GROUP BY 1")
 def embed_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.gaps(_similarities(spark, sf_dir)).select("query_id", F.round("gap", 4).alias("gap"))
+    return _measures(spark, sf_dir, "id < 20").select("query_id", F.round("gap", 4).alias("gap"))
 
 
 @q("recall_at_5", _SIM + "SELECT query_id, round(CAST(count(*) FILTER (related AND rn <= 5) AS DOUBLE) / count(*) FILTER (related), 4) AS recall FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, id) AS rn FROM s) GROUP BY 1")
 def recall_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return E.recall_at(_similarities(spark, sf_dir)).select("query_id", F.round("recall", 4).alias("recall"))
+    return _measures(spark, sf_dir, "id < 20").select("query_id", F.round("recall", 4).alias("recall"))
+
+
+_SIM_ALL = _SIM.replace("a.vec_id < 20", "a.vec_id % 20 = 0")
+
+
+@q("embed_gap_all", _SIM_ALL + "SELECT query_id, round(avg(similarity) FILTER (related) - avg(similarity) FILTER (NOT related), 4) AS gap FROM s GROUP BY 1")
+def embed_gap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id divisible by 20 against all rows."""
+    return _measures(spark, sf_dir, "id % 20 = 0").select("query_id", F.round("gap", 4).alias("gap"))
+
+
+@q("recall_at_5_all", _SIM_ALL + "SELECT query_id, round(CAST(count(*) FILTER (related AND rn <= 5) AS DOUBLE) / count(*) FILTER (related), 4) AS recall FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, id) AS rn FROM s) GROUP BY 1")
+def recall_at_5_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id divisible by 20 against all rows."""
+    return _measures(spark, sf_dir, "id % 20 = 0").select("query_id", F.round("recall", 4).alias("recall"))
 
 
 _RUNS = PRE + """, i AS (SELECT decision_id AS owner, id, start_offset AS a, end_offset AS b FROM k WHERE start_offset IS NOT NULL AND end_offset IS NOT NULL),

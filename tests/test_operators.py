@@ -161,6 +161,25 @@ def test_vectors(spark):
     assert list(semantic.embedded(t, lambda ts: [[3.0, 4.0]] * len(ts)).first().embedding) == [0.6, 0.8]
 
 
+@pytest.mark.parametrize("block", [2, 128])
+def test_label_measures(spark, monkeypatch, block):
+    monkeypatch.setattr(semantic, "QUERY_BLOCK", block)
+    rng = random.Random(9)
+    rows = [(i, rng.choice([0, 1, 2, None]) if i % 20 else i // 20 % 3, [round(rng.gauss(0, 1), 2) for _ in range(4)]) for i in range(130)]
+    rows += [(130, 0, None), (131, 0, [0.0] * 4), (132, 1, [1.0]), (133, 2, rows[41][2])]
+    df = spark.createDataFrame(rows, "id long, label int, embedding array<double>").repartition(3)
+    got = {r.query_id: (r.gap, r.recall) for r in semantic.label_measures(df, df.where("id % 20 = 0"), 4).collect()}
+    length = lambda v: sum(x * x for x in v) ** 0.5
+    want = {}
+    for i, label, v in rows[:121:20]:
+        sims = [(sum(a * b for a, b in zip(v, w, strict=True)) / length(v) / length(w), j, m) for j, m, w in rows if j != i and w and len(w) == 4 and any(w)]
+        mean = lambda x: sum(x) / len(x)
+        gap = mean([s for s, _, m in sims if m == label]) - mean([s for s, _, m in sims if m is not None and m != label])
+        top = sorted(sims, key=lambda s: (-round(s[0], 6), s[1]))[:5]
+        want[i] = (pytest.approx(gap), pytest.approx(sum(m == label for _, _, m in top) / sum(m == label for j, m, _ in rows if j != i)))
+    assert got == want and len(got) == 7
+
+
 def test_text_columns(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(T.date_of(F.lit("20240230"))) is None and one(T.date_of(F.lit("20240229"))) == date(2024, 2, 29) and one(T.date_of(F.lit("2024"))) is None
