@@ -279,6 +279,19 @@ def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     return c.select("id", F.inline("spans"))
 
 
+_MARKED = """o AS (SELECT id, 'keyword' AS kind, 4 AS n, string_split(snippet, '過失比例') AS x FROM c UNION ALL SELECT id, 'keyword', 7, string_split(snippet, '民法第184條') FROM c
+UNION ALL SELECT id, 'statute', 2, string_split(replace(snippet, '民法第184條', '_______'), '民法') FROM c), i AS (SELECT id, kind, n, x, unnest(range(1, len(x))) AS i FROM o WHERE x IS NOT NULL),
+m AS (SELECT id, length(array_to_string(x[1:i], '')) + (i - 1) * n AS start_pos, n, kind FROM i)"""
+
+
+@q("highlight_all", PRE + ", " + _MARKED + " SELECT id, start_pos, start_pos + n AS end_pos, kind FROM m")
+def highlight_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All marks of all snippets; one keyword begins with the statute and wins."""
+    spans = E.text_function(lambda t: marks.highlights(t, ["過失比例", "民法第184條"], ["民法"]), "array<struct<start_pos:long,end_pos:long,kind:string>>")
+    c = thin(spark, sf_dir, "citations", "snippet").where("snippet is not null").select("id", spans(F.col("snippet")).alias("spans"))
+    return c.select("id", F.inline("spans"))
+
+
 @q("answer_tags", "SELECT * FROM (VALUES ('heading', NULL, NULL, '爭點'), ('cite', 'target', '12', '甲案'), ('statute', '民法', '184', '民法第184條')) t(kind, name, key, label)")
 def answer_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
     text = '<h3>爭點</h3>依<cite type="target" id="12">甲案</cite>及<statute law="民法" article="184">民法第184條</statute>'

@@ -51,3 +51,17 @@ def test_nothing_imports_the_llm_package():
         if "/llm/" not in path:
             with open(path) as f:
                 assert "casemesh.llm" not in f.read(), path
+
+
+def test_all_marks_are_shown(spark, data):
+    text = {r.id: r.snippet for r in spark.read.parquet(f"{data}/citations.parquet").select("id", "snippet").collect() if r.snippet}
+    got = [(r.id, r.start_pos, r.end_pos, r.kind) for r in QUERIES["highlight_all"](spark, data).collect()]
+    want = []
+    for i, t in text.items():
+        for term, kind in (("過失比例", "keyword"), ("民法第184條", "keyword"), ("民法", "statute")):
+            at = t.find(term)
+            while at >= 0:
+                if kind == "keyword" or not t.startswith("民法第184條", at):
+                    want.append((i, at, at + len(term), kind))
+                at = t.find(term, at + len(term))
+    assert sorted(got) == sorted(want) and len({i for i, _, e, _ in got if e}) < len(got) and {k for *_, k in got} == {"keyword", "statute"}
