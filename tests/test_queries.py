@@ -65,3 +65,9 @@ def test_all_marks_are_shown(spark, data):
                     want.append((i, at, at + len(term), kind))
                 at = t.find(term, at + len(term))
     assert sorted(got) == sorted(want) and len({i for i, _, e, _ in got if e}) < len(got) and {k for *_, k in got} == {"keyword", "statute"}
+
+
+@pytest.mark.parametrize("tail", ["", "_auth"])
+def test_more_is_without_the_loaded(spark, data, tail):
+    of = lambda name: {r.source_id for r in QUERIES[name + tail](spark, data).collect()}
+    assert of("preview_matched") and not of("preview_more_loaded") & of("preview_matched")
