@@ -94,6 +94,16 @@ def embed_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     return E.written_back(k, E.known_vectors(k)).select("id", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
 
 
+@q(
+    "embed_writeback_pending",
+    PRE + "SELECT p.id, round(CAST(v.embedding[1] AS DOUBLE), 4) AS first FROM k p JOIN (SELECT md5(chunk_text) AS h, arg_min(embedding, id) AS embedding FROM k WHERE embedding IS NOT NULL GROUP BY 1) v ON md5(p.chunk_text) = v.h WHERE p.embedding IS NULL",
+)
+def embed_writeback_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chunks that have no vector, from all that have one."""
+    k = thin(spark, sf_dir, "chunks", "chunk_text", "embedding")
+    return E.written_back(k, E.known_vectors(k)).select("id", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
+
+
 @q("chunk_rollup", PRE + "SELECT decision_id, md5(chunk_text) AS text_hash, count(citation_id) AS n_citations, coalesce(array_to_string(list_sort(array_agg(DISTINCT target_id) FILTER (target_id IS NOT NULL)), ','), '') AS targets FROM k GROUP BY 1, 2")
 def chunk_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = E.rollup(thin(spark, sf_dir, "chunks", "decision_id", "chunk_text", "citation_id", "target_id"))

@@ -180,6 +180,14 @@ def test_label_measures(spark, monkeypatch, block):
     assert got == want and len(got) == 7
 
 
+def test_writeback_of_pending(spark, tmp_path):
+    from casemesh.plans.vector_queries import embed_writeback_pending
+
+    rows = [(1, "a", [0.5]), (2, "a", None), (3, "b", [0.25]), (4, "b", [0.75]), (5, "b", None), (6, "c", None), (7, "d", [1.0])]
+    spark.createDataFrame(rows, "id long, chunk_text string, embedding array<float>").write.parquet(f"{tmp_path}/chunks.parquet")
+    assert {tuple(r) for r in embed_writeback_pending(spark, str(tmp_path)).collect()} == {(2, 0.5), (5, 0.25)}
+
+
 def test_text_columns(spark):
     one = lambda c: spark.range(1).select(c).first()[0]
     assert one(T.date_of(F.lit("20240230"))) is None and one(T.date_of(F.lit("20240229"))) == date(2024, 2, 29) and one(T.date_of(F.lit("2024"))) is None
