@@ -4,7 +4,7 @@ import numpy as np
 import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 TOP, BEST = 50, 5
@@ -53,21 +53,66 @@ def nearest_chunks(chunks: DataFrame, query: list[float], top: int = TOP) -> Dat
     return s.orderBy(F.desc(F.round("similarity", 6)), "id").limit(top)
 
 
+def nearest_of_queries(chunks: DataFrame, queries: DataFrame, top: int = TOP, dim: int = 64) -> DataFrame:
+    """(query_id, id, similarity): what nearest_chunks finds, for every query (id, embedding) that can be used.
+
+    The queries lie in memory as arrays, of any number, and are compared in blocks; a task keeps its first rows by query.
+    """
+    t = queries.where("id is not null").select(F.col("id").cast("long").alias("id"), "embedding").dropDuplicates(["id"]).toArrow().combine_chunks()
+    one = [c.combine_chunks() if isinstance(c, pa.ChunkedArray) else c for c in t.columns]
+    q, q_ok = _usable(one[1], dim)
+    q_id, q = one[0].to_numpy(zero_copy_only=False)[q_ok], q[q_ok]
+
+    def parts(batches):
+        none = (np.empty(0), np.empty(0), np.empty(0, dtype=np.int64))
+        kept = [none] * len(q_id)
+        for batch in batches:
+            x, ok = _usable(batch.column(1), dim)
+            ids, x = batch.column(0).to_numpy(zero_copy_only=False)[ok], x[ok]
+            for s in range(0, len(q_id) if len(ids) else 0, QUERY_BLOCK):
+                sims = q[s : s + QUERY_BLOCK] @ x.T
+                fars = -np.round(sims, 6)
+                last = np.partition(fars, top - 1, axis=1)[:, top - 1] if top < len(ids) else np.full(len(fars), np.inf)
+                for i, (sim, far) in enumerate(zip(sims, fars, strict=True)):
+                    before = kept[s + i]
+                    at = np.flatnonzero(far <= (min(last[i], before[0][-1]) if len(before[0]) == top else last[i]))
+                    all_of = [np.concatenate(c) for c in zip(before, (far[at], sim[at], ids[at]), strict=True)]
+                    order = np.lexsort((all_of[2], all_of[0]))[:top]
+                    kept[s + i] = tuple(c[order] for c in all_of)
+        for s in range(0, len(q_id), QUERY_BLOCK):
+            block = kept[s : s + QUERY_BLOCK]
+            names = np.repeat(q_id[s : s + QUERY_BLOCK], [len(b[0]) for b in block])
+            yield pa.RecordBatch.from_pydict({"query_id": names, "id": np.concatenate([b[2] for b in block]), "similarity": np.concatenate([b[1] for b in block])})
+
+    rows = chunks.where("id is not null and embedding is not null").select(F.col("id").cast("long").alias("id"), "embedding")
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("similarity", 6)), "id")
+    found = rows.mapInArrow(parts, "query_id long, id long, similarity double")
+    return found.withColumn("k", F.row_number().over(order)).where(F.col("k") <= top).drop("k")
+
+
 def by_decision(near: DataFrame, best: int = 10) -> DataFrame:
     """(decision_id, score, chunk_id, n_chunks, targets) of the rulings with the best chunks.
 
     targets: what their chunks cite, rulings as 'decision:', authorities as 'authority:', in order.
     """
+    return _decisions(near).orderBy(F.desc(F.round("score", 6)), "decision_id").limit(best)
+
+
+def by_decision_of_queries(near: DataFrame, best: int = 10) -> DataFrame:
+    """The same for each query_id."""
+    order = Window.partitionBy("query_id").orderBy(F.desc(F.round("score", 6)), "decision_id")
+    return _decisions(near, "query_id").withColumn("k", F.row_number().over(order)).where(F.col("k") <= best).drop("k")
+
+
+def _decisions(near: DataFrame, *by: str) -> DataFrame:
     target = F.when(F.col("target_id").isNotNull(), F.concat(F.lit("decision:"), F.col("target_id").cast("string"))).when(
         F.col("target_authority_id").isNotNull(), F.concat(F.lit("authority:"), F.col("target_authority_id").cast("string"))
     )
     order = F.struct(F.round("similarity", 6).alias("s"), (-F.col("id")).alias("i"))
     return (
         near.withColumn("target", target)
-        .groupBy("decision_id")
+        .groupBy(*by, "decision_id")
         .agg(F.max("similarity").alias("score"), F.max_by("id", order).alias("chunk_id"), F.count(F.lit(1)).alias("n_chunks"), F.array_sort(F.collect_set("target")).alias("targets"))
-        .orderBy(F.desc(F.round("score", 6)), "decision_id")
-        .limit(best)
     )
 
 

@@ -63,6 +63,45 @@ def knn_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return d.unionByName(a).join(F.broadcast(t), "target")  # at most the targets of fifty chunks
 
 
+_NEAR_ALL = f""", v AS (SELECT id, decision_id, target_id, target_authority_id, CAST(embedding AS DOUBLE[]) AS e FROM k WHERE {_OK}),
+n AS (SELECT a.id AS query_id, b.id, b.decision_id, b.target_id, b.target_authority_id, list_cosine_similarity(a.e, b.e) AS similarity FROM v a, v b WHERE a.id % 20 = 0),
+t AS (SELECT * FROM n QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, id) <= 50)
+"""
+_BY_ALL = """, g AS (SELECT query_id, decision_id, max(similarity) AS score, count(*) AS n_chunks, (array_agg(id ORDER BY round(similarity, 6) DESC, id))[1] AS chunk_id,
+string_agg(DISTINCT CASE WHEN target_id IS NOT NULL THEN 'decision:' || target_id ELSE 'authority:' || target_authority_id END, ',' ORDER BY CASE WHEN target_id IS NOT NULL THEN 'decision:' || target_id ELSE 'authority:' || target_authority_id END) AS targets
+FROM t GROUP BY 1, 2), b AS (SELECT * FROM g QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY round(score, 6) DESC, decision_id) <= 10)
+"""
+
+
+def _near_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every id divisible by 20 against all chunks, its own among them as in knn_topk."""
+    k = _chunks(spark, sf_dir)
+    near = E.nearest_of_queries(k, k.where("id % 20 = 0"))
+    return near.join(k.drop("embedding"), "id")
+
+
+@q("knn_topk_all", PRE + _NEAR_ALL + "SELECT query_id, id, decision_id, round(similarity, 4) AS similarity FROM t")
+def knn_topk_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _near_all(spark, sf_dir).select("query_id", "id", "decision_id", F.round("similarity", 4).alias("similarity"))
+
+
+@q("knn_by_decision_all", PRE + _NEAR_ALL + _BY_ALL + "SELECT query_id, decision_id, round(score, 4) AS score, chunk_id, n_chunks, targets FROM b")
+def knn_by_decision_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    by = E.by_decision_of_queries(_near_all(spark, sf_dir))
+    return by.select("query_id", "decision_id", F.round("score", 4).alias("score"), "chunk_id", "n_chunks", F.array_join("targets", ",").alias("targets"))
+
+
+@q(
+    "knn_targets_all",
+    PRE + _NEAR_ALL + _BY_ALL + """, u AS (SELECT DISTINCT query_id, unnest(string_split(targets, ',')) AS target FROM b) SELECT query_id, target, display_title FROM u JOIN (SELECT 'decision:' || id AS target, display_title FROM d UNION ALL SELECT 'authority:' || id, coalesce(display, ref_key) FROM authorities) USING (target)""",
+)
+def knn_targets_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    t = E.by_decision_of_queries(_near_all(spark, sf_dir)).select("query_id", F.explode("targets").alias("target")).distinct()
+    d = thin(spark, sf_dir, "decisions", "display_title").select(F.concat(F.lit("decision:"), F.col("id").cast("string")).alias("target"), "display_title")
+    a = load(spark, sf_dir, "authorities").select(F.concat(F.lit("authority:"), F.col("id").cast("string")).alias("target"), F.coalesce("display", "ref_key").alias("display_title"))
+    return d.unionByName(a).join(t, "target")
+
+
 _UNIT = "list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / CASE WHEN n = 0 THEN 1 ELSE n END)"
 
 

@@ -180,6 +180,20 @@ def test_label_measures(spark, monkeypatch, block):
     assert got == want and len(got) == 7
 
 
+@pytest.mark.parametrize("block", [2, 128])
+def test_nearest_of_queries(spark, monkeypatch, block):
+    monkeypatch.setattr(semantic, "QUERY_BLOCK", block)
+    rng = random.Random(8)
+    rows = [(i, [float(rng.randint(-2, 2)) for _ in range(3)]) for i in range(1, 120)] + [(120, None), (121, [1.0])]
+    df = spark.createDataFrame(rows, "id long, embedding array<double>").repartition(3)
+    found = semantic.nearest_of_queries(df, df.where("id % 20 = 0"), 7, 3).collect()
+    queries = [(i, v) for i, v in rows if i % 20 == 0 and v and any(v)]
+    for i, v in queries:
+        want = [(r.id, round(r.similarity, 6)) for r in semantic.nearest_chunks(df, v, 7).collect()]
+        assert sorted((r.id, round(r.similarity, 6)) for r in found if r.query_id == i) == sorted(want)
+    assert {r.query_id for r in found} == {i for i, _ in queries} and len(queries) >= 4
+
+
 def test_writeback_of_pending(spark, tmp_path):
     from casemesh.plans.vector_queries import embed_writeback_pending
 
