@@ -9,6 +9,7 @@ the plan says which ranks of a size go to which containers. It is therefore as s
 from __future__ import annotations
 
 import heapq
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -20,11 +21,13 @@ from casemesh.llm.tokens import ranked, token_counts
 from casemesh.operators.durable import cut
 
 CAPACITY = 4096
-_RANK_BITS = 45
 
 
 def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[int, int, int, int, int]], int]:
-    """Lines (size, first rank, last rank + 1, first container, items of that size in a container) and the number of containers."""
+    """Lines (size, first rank, last rank + 1, first container, items of that size in a container) and the number of containers.
+
+    Its time grows with the number of sizes (times a logarithm), not with that of items.
+    """
     lines: list[tuple[int, int, int, int, int]] = []
     left = {s: n for s, n in counts.items() if 0 < s <= capacity and n > 0}
     done = dict.fromkeys(left, 0)
@@ -36,10 +39,25 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
         done[size] += n
         left[size] -= n
 
-    large = sorted((s for s in left if 3 * s > capacity), reverse=True)
-    for s in large:
+    large = sorted(s for s in left if 3 * s > capacity)
+    below = list(range(-1, len(large)))  # below[i + 1]: the place of the next size up to large[i] that isn't used up
+
+    def partner_of(bound: int) -> int | None:
+        """The largest size up to bound of which items are left."""
+        i = bisect_right(large, bound)
+        path = []
+        while i and not left[large[i - 1]]:
+            path.append(i)
+            i = below[i] if below[i] < i - 1 else i - 1
+        for j in path:
+            below[j] = i
+        return large[i - 1] if i else None
+
+    for s in reversed(large):
         while left[s]:
-            partner = next((p for p in large if p <= min(s, capacity - s) and left[p] > (p == s)), None)
+            left[s] -= 1  # the item itself is no partner of its own
+            partner = partner_of(min(s, capacity - s))
+            left[s] += 1
             if partner is None:
                 n, gap = left[s], capacity - s
                 put(s, n, bins, 1)
@@ -52,49 +70,61 @@ def plan(counts: dict[int, int], capacity: int = CAPACITY) -> tuple[list[tuple[i
                 put(partner, n, bins, 1)
             gaps.setdefault(gap, []).append((bins, n))
             bins += n
-    open_gaps = [g for g in gaps if g]
-    heap: list[int] = []
+    # gaps that an item of the present size fits in, tightest first, and those that are still too tight, widest first
+    fitting: list[int] = []
+    tight = [-g for g in gaps if g]
+    heapq.heapify(tight)
     for s in sorted((s for s in left if 3 * s <= capacity), reverse=True):
-        heap = sorted({g for g in open_gaps if gaps.get(g) and g >= s})
+
+        def keep(gap: int, first: int, n: int, s: int = s) -> None:
+            if gap and n:
+                if not gaps.get(gap):
+                    heapq.heappush(fitting, gap) if gap >= s else heapq.heappush(tight, -gap)
+                gaps.setdefault(gap, []).append((first, n))
+
+        while tight and -tight[0] >= s:
+            heapq.heappush(fitting, -heapq.heappop(tight))
         while left[s]:
-            while heap and not gaps.get(heap[0]):
-                heapq.heappop(heap)
-            if not heap:
+            while fitting and not gaps.get(fitting[0]):
+                heapq.heappop(fitting)
+            if not fitting:
                 need = -(-left[s] // (capacity // s))
-                gaps.setdefault(capacity, []).append((bins, need))
+                keep(capacity, bins, need)
                 bins += need
-                heapq.heappush(heap, capacity)
-                open_gaps.append(capacity)
-            gap = heap[0]
+            gap = fitting[0]
             first, n = gaps[gap].pop()
             each = gap // s
             full = min(n, left[s] // each)
             if full:
                 put(s, full * each, first, each)
-                gaps.setdefault(gap - each * s, []).append((first, full))
-                open_gaps.append(gap - each * s)
+                keep(gap - each * s, first, full)
             rest = left[s]
             if full < n and 0 < rest < each:
                 put(s, rest, first + full, rest)
-                gaps.setdefault(gap - rest * s, []).append((first + full, 1))
-                open_gaps.append(gap - rest * s)
+                keep(gap - rest * s, first + full, 1)
                 full += 1
             if full < n:
+                if not gaps[gap]:
+                    heapq.heappush(fitting, gap)
                 gaps[gap].append((first + full, n - full))
-        open_gaps = [g for g in set(open_gaps) if g and gaps.get(g)]
     return lines, bins
 
 
-def _assign(batches: Iterator[pa.RecordBatch], lines: np.ndarray, bins: int) -> Iterator[pa.RecordBatch]:
-    """Looks up each item's line by its size and rank."""
-    keys = (lines[:, 0] << _RANK_BITS) + lines[:, 1] if len(lines) else np.empty(0, np.int64)
+def _assign(batches: Iterator[pa.RecordBatch], lines: np.ndarray, before: np.ndarray, bins: int) -> Iterator[pa.RecordBatch]:
+    """Looks up each item's line by its place among all items, ordered by size and rank.
+
+    lines: sorted by size and first rank; before: the number of items of smaller sizes, by line. Places are at most as many
+    as there are items, whatever the capacity.
+    """
+    places = before + lines[:, 1]
+    sizes, at_size = np.unique(lines[:, 0], return_index=True)
     for batch in batches:
         size, r = (batch.column(batch.schema.get_field_index(c)).to_numpy() for c in ("n_tokens", "r"))
         out = r % max(bins, 1)  # items without size take no space, anywhere
         real = size > 0
         if real.any():
-            at = np.searchsorted(keys, (size[real] << _RANK_BITS) + r[real], side="right") - 1
-            line = lines[at]
+            own = before[at_size[np.searchsorted(sizes, size[real])]] + r[real]
+            line = lines[np.searchsorted(places, own, side="right") - 1]
             out[real] = line[:, 3] + (r[real] - line[:, 1]) // line[:, 4]
         keep = [batch.column(batch.schema.get_field_index(c)) for c in ("doc_id", "piece_no", "token_start", "n_tokens")]
         yield pa.RecordBatch.from_arrays([*keep, pa.array(out + 1)], names=["doc_id", "piece_no", "token_start", "n_tokens", "bin_id"])
@@ -121,9 +151,11 @@ def filled(documents: DataFrame, capacity: int = CAPACITY, path: str | None = No
     counts = {int(r[0]): int(r[1]) for r in items.groupBy("n_tokens").agg(F.count(F.lit(1))).collect()}
     made, bins = plan(counts, capacity)
     lines = np.array(sorted(made), dtype=np.int64).reshape(-1, 5)
+    smaller = {s: n for s, n in zip(sorted(counts), np.cumsum([0, *(counts[s] for s in sorted(counts))]), strict=False)}
+    before = np.array([smaller[s] for s in lines[:, 0].tolist()], dtype=np.int64)
     order = ranked(items, ["n_tokens"], F.xxhash64("doc_id", "piece_no"), "doc_id", "piece_no")
     return order.select("doc_id", "piece_no", "token_start", "n_tokens", "r").mapInArrow(
-        lambda b: _assign(b, lines, bins), "doc_id long, piece_no int, token_start long, n_tokens long, bin_id long"
+        lambda b: _assign(b, lines, before, bins), "doc_id long, piece_no int, token_start long, n_tokens long, bin_id long"
     )
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from casemesh.llm import lines, mixing, neighbours, packing, pieces, private, spans, stuffing, tokens
+from casemesh.llm import lines, mixing, neighbours, packing, pieces, private, spans, stuffing
 from casemesh.plans.registry import Registry
 from casemesh.sources.tables import load
 
@@ -113,14 +113,50 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(packing.filled(load(spark, sf_dir, "documents")))
 
 
+def _mixed(spark: SparkSession, sf_dir: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
+    return mixing.mixed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), exact=exact)
+
+
 @REGISTRY.query("p9_mix")
 def p9_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[0]
+    """As many tokens as the named sources hold; sources that run out fall short of their share."""
+    return _mixed(spark, sf_dir)[0]
 
 
 @REGISTRY.query("p9_shares")
 def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return mixing.mixed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"))[1]
+    return _mixed(spark, sf_dir)[1]
+
+
+@REGISTRY.query("p9_mix_exact")
+def p9_mix_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every source that has pages at its share; the scarcest bounds the size."""
+    return _mixed(spark, sf_dir, True)[0]
+
+
+@REGISTRY.query("p9_shares_exact")
+def p9_shares_exact(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mixed(spark, sf_dir, True)[1]
+
+
+_SOURCE = "lower(trim({0}, ' \\t\\r\\n　'))"
+
+
+@REGISTRY.query(
+    "p9_checks",
+    f"""WITH t AS (SELECT DISTINCT {_SOURCE.format("source")} AS source, target_share, max_repeats FROM mix_targets),
+p AS (SELECT {_SOURCE.format("source")} AS source, count(DISTINCT doc_id) AS n FROM documents WHERE length(text) > 0 GROUP BY 1)
+SELECT source, round(target_share, 6) AS target_share, CAST(max_repeats AS BIGINT) AS max_repeats, coalesce(n, 0) AS pages, true AS pages_in_mix, true AS within_repeats, true AS near_budget, true AS tokens_add_up FROM t LEFT JOIN p USING (source)""",
+)
+def p9_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the mix and its report, by source: repeats are kept, and the budget is met but for the rest that the knapsack's table is for."""
+    mix, report = _mixed(spark, sf_dir)
+    got = mix.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("repeats")).alias("sum"), F.max("repeats").alias("most"), F.count_distinct("doc_id").alias("used"))
+    r = report.join(got, "source", "left").na.fill(0, ["sum", "most", "used"])
+    return r.select(
+        "source", F.round("target_share", 6).alias("target_share"), "max_repeats", "pages", (F.col("used") <= F.col("pages")).alias("pages_in_mix"), (F.col("most") <= F.col("max_repeats")).alias("within_repeats"),
+        (F.abs(F.col("budget") - F.col("tokens")) <= mixing.TABLE).alias("near_budget"), (F.col("sum") == F.col("tokens")).alias("tokens_add_up"),
+    )
 
 
 @REGISTRY.query("p10_found")
@@ -143,21 +179,3 @@ def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @REGISTRY.query("p4_masked")
 def p4_masked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return private.without_personal(private.texts(load(spark, sf_dir, "decisions"), load(spark, sf_dir, "citations")))
-
-
-def _all_tokens(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
-    """As many tokens as the named sources hold; sources that run out fall short of their share."""
-    documents, targets = load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets")
-    named = documents.join(targets.select(mixing.source_name(F.col("source")).alias("s")).distinct(), mixing.source_name(F.col("source")) == F.col("s"), "left_semi")
-    total = tokens.token_counts(named).agg(F.sum("n_tokens")).first()[0] or 0
-    return mixing.mixed(documents, targets, total)
-
-
-@REGISTRY.query("p9_mix_all")
-def p9_mix_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_tokens(spark, sf_dir)[0]
-
-
-@REGISTRY.query("p9_shares_all")
-def p9_shares_all(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _all_tokens(spark, sf_dir)[1]

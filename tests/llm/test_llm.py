@@ -291,7 +291,41 @@ def test_plan(capacity, counts):
             one_by_one[min(fits, key=lambda i: one_by_one[i])] -= s
         else:
             one_by_one.append(capacity - s)
-    assert bins <= len(one_by_one) * 1.2 + 1
+    total = sum(s * n for s, n in counts.items())
+    assert bins <= len(one_by_one) * 1.1 + 1 and bins >= -(-total // capacity)
+
+
+def test_plan_of_large_capacities():
+    rng = random.Random(17)
+    counts = {rng.randrange(1, 1_000_000): rng.randrange(1, 10**9) for _ in range(20_000)} | {300_000: 5 * 10**9}
+    made, bins = packing.plan(counts, 1_000_000)
+    items, tokens_in = defaultdict(int), 0
+    for size, a, b, _, each in made:
+        assert b > a and each * size <= 1_000_000
+        items[size] += b - a
+        tokens_in += size * (b - a)
+    assert dict(items) == counts and bins * 1_000_000 >= tokens_in
+    assert tokens_in / (bins * 1_000_000) > 0.97
+
+
+@pytest.mark.parametrize("capacity", [100, 1_000_000])
+def test_places_of_large_items(capacity):
+    import pyarrow as pa
+
+    rng = np.random.default_rng(18)
+    size = rng.integers(1, capacity + 1, 3000)
+    order = np.argsort(size, kind="stable")
+    rank = np.empty(3000, dtype=np.int64)
+    rank[order] = np.arange(3000) - np.searchsorted(size[order], size[order])
+    n_of = {int(s): int(n) for s, n in zip(*np.unique(size, return_counts=True), strict=True)}
+    made, bins = packing.plan(n_of, capacity)
+    lines_ = np.array(sorted(made), dtype=np.int64)
+    smaller = dict(zip(sorted(n_of), np.cumsum([0, *(n_of[s] for s in sorted(n_of))]), strict=False))
+    before = np.array([smaller[s] for s in lines_[:, 0].tolist()])
+    batch = pa.RecordBatch.from_pydict({"doc_id": np.arange(3000), "piece_no": np.ones(3000, np.int32), "token_start": np.zeros(3000, np.int64), "n_tokens": size, "r": rank})
+    out = next(packing._assign(iter([batch]), lines_, before, bins)).column("bin_id").to_numpy()
+    load = np.bincount(out, weights=size)
+    assert load.max() <= capacity and (load[1:] > 0).all() and len(load) == bins + 1
 
 
 TEXTS = "doc_id long, text string, source string, title string"
@@ -331,21 +365,35 @@ def test_fit_is_as_good_as_any(counts, part):
     assert budget - int((take * lengths).sum()) < max(counts)
 
 
+def test_fit_of_billions_of_pages():
+    lengths, n = np.array([500, 700]), np.array([2 * 10**9, 3 * 10**9])
+    budget = int((lengths * n).sum()) // 2
+    take = mixing.fit(lengths, n, budget)
+    assert abs(take[0] / n[0] - 0.5) < 1e-3 and abs(take[1] / n[1] - 0.5) < 1e-3
+    assert 0 <= budget - int((take * lengths).sum()) < 100
+    odd = mixing.fit(np.array([3, 11, 10_000_000]), np.array([10**6, 10**6, 40]), 215_000_001)
+    assert 3 * odd[0] + 11 * odd[1] + 10_000_000 * odd[2] == 215_000_001
+
+
 def test_mix(spark):
     rng = random.Random(8)
     rows = [(i, "word " * rng.randrange(1, 60), rng.choice([" A", "a", "B", "c"]), "") for i in range(400)] + [(900, None, "a", ""), (901, "x", None, ""), (None, "x", "a", "")]
     targets = [("a", 0.5, 1), ("a", 0.5, 1), ("B ", 0.3, 2), ("c", 0.1, None), ("none", 0.1, 3), (None, 0.2, 1), ("d", None, 1)]
     df, t = spark.createDataFrame(rows, TEXTS), spark.createDataFrame(targets, "source string, target_share double, max_repeats int")
-    mix, report = mixing.mixed(df, t)
+    mix, report = mixing.mixed(df, t, exact=True)
     m, r = mix.toPandas(), {x.source: x for x in report.collect()}
     used = (m["n_tokens"] * m["repeats"]).groupby(m["source"]).sum()
     assert {s: r[s].tokens for s in used.index} == used.to_dict()
     for s, share in (("a", 0.5), ("b", 0.3), ("c", 0.1)):
         assert abs(used[s] / used.sum() - share / 0.9) < 0.002
     assert r["none"].tokens == 0 and (m[m.source == "a"]["repeats"] <= 1).all() and (m["repeats"] <= 2).all()
-    assert mix.exceptAll(mixing.mixed(df, t)[0]).count() == 0
+    assert mix.exceptAll(mixing.mixed(df, t, exact=True)[0]).count() == 0
     big = mixing.mixed(df, t, total=10**9)[1].toPandas().set_index("source")
     assert (big.loc[["a", "b", "c"], "tokens"] == big.loc[["a", "b", "c"], "tokens_there"] * [1, 2, 1]).all()
+    whole = mixing.mixed(df, t)[1].toPandas().set_index("source").loc[["a", "b", "c"]]
+    size = whole["tokens_there"].sum()
+    want = np.minimum(size * np.array([0.5, 0.3, 0.1]) / 0.9, whole["tokens_there"] * [1, 2, 1])
+    assert (np.abs(whole["tokens"] - want) < 60).all() and (whole["tokens"] <= whole["budget"]).all()
     assert mixing.mixed(df.limit(0), t)[0].collect() == []
 
 
