@@ -1,8 +1,9 @@
 """Lines that recur among the documents of one unit (a court, a web site) and are no part of their text.
 
-Method: the lines of a unit are the nodes of a graph, two lines that follow one another an edge; the weight of either is the
-number of documents. Nodes and edges with high support are kept, the connected components of what is left are the
-boilerplate blocks, and every occurrence of a block's lines is removed.
+Method: the lines of a unit are the nodes of a graph, the weight of a node is the number of documents that have the line.
+Nodes with high support are kept; two kept lines that follow one another in a document, whatever else stands between them,
+are an edge, kept if its own support is high. The connected components are the boilerplate blocks. A block's occurrences in
+a document are runs of its lines, and what is removed are the lines of these occurrences.
 """
 
 from __future__ import annotations
@@ -10,14 +11,16 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
 from casemesh.functions.plain import squeezed, stripped
 from casemesh.operators.durable import cut
 
 #: A line is boilerplate from so many characters, documents and share of its unit's documents.
 MIN_CHARS, MIN_DOCUMENTS, MIN_SHARE = 8, 5, 0.04
-#: Blocks' lines up to which they are broadcast (at most 16 MB); above, lines are shuffled.
+#: Blocks' lines up to which they are broadcast: of 16 bytes each in the table that is sent, 3 MB; above, lines are shuffled.
 BROADCAST_LINES = 200_000
+SALTS = 32
 
 
 def unit_of(c: Column) -> Column:
@@ -72,13 +75,21 @@ def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def repeated_lines(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """From (id, unit, text): occurrences (id, unit, line_no, block) of boilerplate lines, and blocks' lines (unit, h1, h2, n, block).
+def _marked(lines: DataFrame, marks: DataFrame, n: int) -> DataFrame:
+    """The lines that are among the marks (h1, h2, ...), joined by salt where the marks aren't few: a line may be most documents'."""
+    if n <= BROADCAST_LINES:
+        return lines.join(F.broadcast(marks), ["h1", "h2"])
+    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
+    return lines.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(marks.withColumn("salt", salt), ["h1", "h2", "salt"]).drop("salt")
+
+
+def block_occurrences(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """From (id, unit, text): occurrences (id, unit, block, run, line_nos) of boilerplate blocks, and their lines (unit, h1, h2, n, block).
 
     Each document counts once for a line and for its unit, however often it was delivered. Documents without id, unit or
-    text take no part and keep their lines; an empty table gives no rows.
+    text take no part and keep their lines; an empty table gives no rows. Lines are split and hashed once.
     """
-    lines = _lines(documents)
+    lines = cut(_lines(documents))
     sizes = (
         documents.where(F.col("id").isNotNull() & (F.length("text") > 0) & F.col("unit").isNotNull())
         .select("id", unit_of(F.col("unit")).alias("unit"))
@@ -89,25 +100,27 @@ def repeated_lines(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     enough = _support(lines, "unit", "h1", "h2").where(F.col("n") >= MIN_DOCUMENTS)
     strong = F.col("n") >= F.lit(MIN_SHARE) * F.col("documents")
     nodes = cut(enough.join(sizes, "unit").where(strong).select("unit", "h1", "h2", "n", "documents"))
-    marks = nodes.select("h1", "h2")
-    if nodes.count() <= BROADCAST_LINES:
-        hits = lines.join(F.broadcast(marks), ["h1", "h2"])
-    else:
-        salt = F.explode(F.sequence(F.lit(0), F.lit(31)))
-        hits = lines.withColumn("salt", F.pmod("id", F.lit(32)).cast("int")).join(marks.withColumn("salt", salt), ["h1", "h2", "salt"]).drop("salt")
-    hits = cut(hits.select("id", "unit", "line_no", "h1", "h2").distinct())
-    after = hits.select("id", (F.col("line_no") - 1).alias("line_no"), F.col("h1").alias("n1"), F.col("h2").alias("n2"))
-    follow = hits.join(after, ["id", "line_no"])
+    n = nodes.count()
+    hits = cut(_marked(lines, nodes.select("h1", "h2"), n).select("id", "unit", "line_no", "h1", "h2").distinct())
+    within = W.partitionBy("id", "unit").orderBy("line_no")
+    follow = hits.withColumns({"n1": F.lead("h1").over(within), "n2": F.lead("h2").over(within)}).where("n1 is not null and n2 is not null")
     edges = _support(follow, "unit", "h1", "h2", "n1", "n2").join(sizes, "unit").where(strong & (F.col("n") >= MIN_DOCUMENTS))
     zero = F.lit(0).cast("long")
     graph = nodes.select("unit", "h1", "h2", "n", F.lit(False).alias("edge"), zero.alias("n1"), zero.alias("n2")).unionByName(
         edges.select("unit", "h1", "h2", "n", F.lit(True).alias("edge"), "n1", "n2")
     )
     blocks = cut(graph.groupBy("unit").applyInPandas(_blocks, "unit string, h1 long, h2 long, n long, block long"))
-    member = blocks.select("h1", "h2", "block")
-    if blocks.count() <= BROADCAST_LINES:
-        member = F.broadcast(member)
-    return hits.join(member, ["h1", "h2"]).select("id", "unit", "line_no", "block"), blocks
+    of_block = _marked(hits, blocks.select("h1", "h2", "block"), n)
+    new = F.coalesce(F.lag("block").over(within) != F.col("block"), F.lit(True)).cast("int")
+    runs = of_block.withColumn("new", new).withColumn("run", F.sum("new").over(within))
+    # a run has no more lines than its document
+    return runs.groupBy("id", "unit", "block", "run").agg(F.array_sort(F.collect_list("line_no")).alias("line_nos")), blocks
+
+
+def repeated_lines(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The lines (id, unit, line_no, block) of all occurrences of boilerplate blocks, and the blocks' lines; see block_occurrences."""
+    found, blocks = block_occurrences(documents)
+    return found.select("id", "unit", F.explode("line_nos").alias("line_no"), "block"), blocks
 
 
 def without_lines(documents: DataFrame, occurrences: DataFrame) -> DataFrame:

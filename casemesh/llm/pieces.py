@@ -25,32 +25,33 @@ def _codes(text: str) -> np.ndarray:
     return np.frombuffer(text.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
 
 
-def boundaries(codes: np.ndarray) -> tuple[np.ndarray, int]:
-    """Positions after which a cut is natural (none within a CRLF), and the longest run without any of the signs."""
+def boundaries(codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Positions at which a cut is natural, after a sign (none within a CRLF), and which characters are signs."""
     sign = np.isin(codes, _codes(ENDS))
-    at = np.flatnonzero(sign)
-    edges = np.concatenate([[-1], at, [len(codes)]])
-    run = int(np.diff(edges).max()) - 1
-    after = at + 1
+    after = np.flatnonzero(sign) + 1
     inner = after[after < len(codes)]
     inner = inner[~((codes[inner - 1] == 13) & (codes[inner] == 10))]
-    return inner, run
+    return inner, sign
 
 
 def cuts(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[np.ndarray, ...]:
-    """(row, piece_no, start, end, natural, longest_run) of the pieces of every text; a text within the limit is one piece."""
+    """(row, piece_no, start, end, natural) of the pieces of every text; a text within the limit is one piece.
+
+    A forced cut that comes to lie right before a sign, which then begins the next piece, counts as natural: a line or
+    sentence ends there as well.
+    """
     if not 0 <= overlap < limit:
         raise ValueError("the overlap must be smaller than the limit")
     reach = limit - overlap
     node_pos: list[np.ndarray] = []
     node_nat: list[np.ndarray] = []
     node_next: list[np.ndarray] = []
-    sizes, runs = [], []
+    sizes = []
     base = 0
     for text in texts:
         codes = _codes(text)
         n = len(codes)
-        natural, run = boundaries(codes)
+        natural, sign = boundaries(codes)
         stops = np.concatenate([[0], natural, [n]]) if n else np.array([0, 0])
         # forced cuts: where the next boundary is out of reach, a piece ends as late as it can
         gaps = np.diff(stops)
@@ -61,8 +62,9 @@ def cuts(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[
         forced = stops[which] + first[which] + step * reach
         pos = np.concatenate([stops, forced])
         nat = np.concatenate([np.ones(len(stops), bool), np.zeros(len(forced), bool)])
+        good = np.concatenate([nat[: len(stops)], sign[forced]])
         order = np.argsort(pos, kind="stable")
-        pos, nat = pos[order], nat[order]
+        pos, nat, good = pos[order], nat[order], good[order]
         # the farthest natural successor in reach, else the next forced cut
         nat_at = np.flatnonzero(nat)
         far = pos + np.where(pos == 0, limit, reach)
@@ -71,13 +73,12 @@ def cuts(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[
         nxt = np.where(pos[best] > pos, best, np.minimum(here + 1, len(pos) - 1))
         nxt[-1] = len(pos) - 1
         node_pos.append(pos)
-        node_nat.append(nat)
+        node_nat.append(good)
         node_next.append(nxt + base)
         sizes.append(len(pos))
-        runs.append(run if n else 0)
         base += len(pos)
     if not texts:
-        return tuple(np.empty(0, dtype=np.int64) for _ in range(6))
+        return tuple(np.empty(0, dtype=np.int64) for _ in range(5))
     pos, nat, table = np.concatenate(node_pos), np.concatenate(node_nat), np.concatenate(node_next)
     size = np.array(sizes)
     begin = np.cumsum(size) - size
@@ -98,7 +99,7 @@ def cuts(texts: list[str], limit: int = LIMIT, overlap: int = OVERLAP) -> tuple[
     which = row[end]
     number = np.arange(len(end)) - np.searchsorted(which, which, side="left")
     starts = np.where(number == 0, 0, np.concatenate([[0], pos[end][:-1]]) - overlap)
-    return which, number + 1, np.maximum(starts, 0), pos[end], nat[end], np.array(runs)[which]
+    return which, number + 1, np.maximum(starts, 0), pos[end], nat[end]
 
 
 def _cut_rows(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) -> Iterator[pa.RecordBatch]:
@@ -107,7 +108,7 @@ def _cut_rows(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) -> It
         texts = batch.column(2).to_pylist()
         for s in range(0, len(texts), 256):
             part = texts[s : s + 256]
-            which, number, start, end, natural, run = cuts(part, limit, overlap)
+            which, number, start, end, natural = cuts(part, limit, overlap)
             at = pa.array(which + s)
             yield pa.RecordBatch.from_arrays(
                 [
@@ -117,10 +118,9 @@ def _cut_rows(batches: Iterator[pa.RecordBatch], limit: int, overlap: int) -> It
                     pa.array(start.astype(np.int32)),
                     pa.array(end.astype(np.int32)),
                     pa.array(natural),
-                    pa.array(run.astype(np.int32)),
                     pa.array([part[w][a:b] for w, a, b in zip(which, start, end, strict=True)], type=pa.string()),
                 ],
-                names=["item_table", "item_id", "piece_no", "start_pos", "end_pos", "natural", "longest_run", "piece_text"],
+                names=["item_table", "item_id", "piece_no", "start_pos", "end_pos", "natural", "piece_text"],
             )
 
 
@@ -135,29 +135,37 @@ def oversized(decisions: DataFrame, chunks: DataFrame, limit: int = LIMIT) -> Da
 
 
 def pieces(items: DataFrame, limit: int = LIMIT, overlap: int = OVERLAP) -> DataFrame:
-    """(item_table, item_id, piece_no, start_pos, end_pos, natural, longest_run, piece_text).
+    """(item_table, item_id, piece_no, start_pos, end_pos, natural, piece_text).
 
     Pieces are numbered from 1, have at most limit characters and begin overlap characters before the end of the one
-    before. natural: the piece ends after a line or sentence end or with the text; longest_run: of the item, see boundaries.
-    An item within the limit is one piece, an empty text none.
+    before. natural: the piece ends with a line or sentence or with the text. An item within the limit is one piece, an
+    empty text none.
     """
     return items.select("item_table", "item_id", "text").mapInArrow(
-        lambda b: _cut_rows(b, limit, overlap),
-        "item_table string, item_id long, piece_no int, start_pos int, end_pos int, natural boolean, longest_run int, piece_text string",
+        lambda b: _cut_rows(b, limit, overlap), "item_table string, item_id long, piece_no int, start_pos int, end_pos int, natural boolean, piece_text string"
     )
 
 
-def cut_kinds(cut_pieces: DataFrame, limit: int = LIMIT) -> DataFrame:
-    """(item_table, item_id, cut_kind): 'forced' for items that can't be cut at natural boundaries only."""
-    return cut_pieces.groupBy("item_table", "item_id").agg(
-        F.when(F.max("longest_run") > limit, "forced").otherwise("natural").alias("cut_kind")
-    )
+def _kind_rows(batches: Iterator[pa.RecordBatch], limit: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        texts = batch.column(2).to_pylist()
+        forced = np.zeros(len(texts), dtype=bool)
+        for s in range(0, len(texts), 256):
+            which, _, _, _, natural = cuts(texts[s : s + 256], limit, 0)
+            forced[s + which[~natural]] = True
+        kinds = pa.array(np.where(forced, "forced", "natural"), type=pa.string())
+        yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), kinds], names=["item_table", "item_id", "cut_kind"])
+
+
+def cut_kinds(items: DataFrame, limit: int = LIMIT) -> DataFrame:
+    """(item_table, item_id, cut_kind): 'forced' for items in which even pieces without overlap can't all end with a line or sentence."""
+    return items.select("item_table", "item_id", "text").mapInArrow(lambda b: _kind_rows(b, limit), "item_table string, item_id long, cut_kind string")
 
 
-def with_citations(cut_pieces: DataFrame, chunks: DataFrame, citations: DataFrame) -> DataFrame:
+def with_citations(cut_pieces: DataFrame, chunks: DataFrame, citations: DataFrame, stretch: int = LIMIT) -> DataFrame:
     """Adds n_citations and citation_ids (ascending): the citations whose match_start lies inside the piece.
 
-    Joined by ruling and stretch of text, so that a ruling with very many citations meets each of its pieces with few.
+    Joined by ruling and stretch of text (best about as long as the pieces), so that a ruling with very many citations meets each of its pieces with few.
     """
     place = chunks.where(F.col("id").isNotNull() & (F.length("chunk_text") > 0)).select(
         F.lit("chunks").alias("item_table"), F.col("id").alias("item_id"), "decision_id", F.coalesce("start_offset", F.lit(0)).alias("offset")
@@ -168,10 +176,10 @@ def with_citations(cut_pieces: DataFrame, chunks: DataFrame, citations: DataFram
     low, high = F.col("start_pos") + F.col("offset"), F.col("end_pos") + F.col("offset")
     spread = placed.select(
         "item_table", "item_id", "piece_no", "ruling", low.alias("low"), high.alias("high"),
-        F.explode(F.sequence(F.floor(low / LIMIT), F.floor((high - 1) / LIMIT))).alias("stretch"),
+        F.explode(F.sequence(F.floor(low / stretch), F.floor((high - 1) / stretch))).alias("stretch"),
     )
     cites = citations.where(F.col("id").isNotNull() & F.col("match_start").isNotNull()).select(
-        F.col("source_id").alias("ruling"), F.floor(F.col("match_start") / LIMIT).alias("stretch"), "match_start", "id"
+        F.col("source_id").alias("ruling"), F.floor(F.col("match_start") / stretch).alias("stretch"), "match_start", "id"
     )
     inside = spread.join(cites, ["ruling", "stretch"]).where("match_start >= low and match_start < high")
     listed = inside.groupBy("item_table", "item_id", "piece_no").agg(F.sort_array(F.collect_set("id")).alias("citation_ids"))

@@ -45,6 +45,15 @@ def p1_units(spark: SparkSession, sf_dir: str) -> DataFrame:
     return blocks.groupBy("unit").agg(F.count(F.lit(1)).alias("n_lines"), F.sum("n").alias("n_occurrences"))
 
 
+@REGISTRY.query("p1_blocks")
+def p1_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Blocks with their lines and their occurrences, whole (all lines of the block in one run) or in part."""
+    found, blocks = lines.block_occurrences(_rulings(spark, sf_dir))
+    size = blocks.groupBy("unit", "block").agg(F.count(F.lit(1)).alias("n_lines"), F.max("n").alias("n_documents"))
+    seen = found.groupBy("unit", "block").agg(F.count(F.lit(1)).alias("n_occurrences"), F.max(F.size("line_nos")).alias("longest_run"))
+    return size.join(seen, ["unit", "block"]).select("unit", "block", "n_lines", "n_documents", "n_occurrences", "longest_run")
+
+
 @REGISTRY.query("p1_clean_text")
 def p1_clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rulings = _rulings(spark, sf_dir)
@@ -62,7 +71,7 @@ SELECT item_table, item_id, CASE WHEN list_max(list_transform(string_split(trans
 )
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     items = pieces.oversized(load(spark, sf_dir, "decisions"), load(spark, sf_dir, "chunks"))
-    return pieces.cut_kinds(pieces.pieces(items).drop("piece_text"))
+    return pieces.cut_kinds(items)
 
 
 @REGISTRY.query("p3_pieces")

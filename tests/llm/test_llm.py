@@ -63,7 +63,11 @@ def test_blocks_are_components(spark):
     rows = [(i, "u", "\n".join([a, b, f"內容內容內容內容{i}", c]), "") for i in range(30)]
     _, blocks = lines.repeated_lines(spark.createDataFrame(rows, DOC))
     sizes = sorted(r["count"] for r in blocks.groupBy("block").count().collect())
-    assert sizes == [1, 2]
+    assert sizes == [3]  # kept lines follow one another over a line that isn't kept
+    rows = [(i, "u", "\n".join([a, b] if i % 2 else [c, f"內容內容內容內容{i}"]), "") for i in range(30)]
+    found, blocks = lines.block_occurrences(spark.createDataFrame(rows, DOC))
+    assert sorted(r["count"] for r in blocks.groupBy("block").count().collect()) == [1, 2]
+    assert sorted((r.id, tuple(r.line_nos)) for r in found.collect()) == [(i, (1, 2) if i % 2 else (1,)) for i in range(30)]
 
 
 def test_no_lines(spark):
@@ -75,12 +79,12 @@ def test_no_lines(spark):
 
 
 def brute_cuts(text, limit, overlap):
-    codes = pieces._codes(text)
-    natural = {*pieces.boundaries(codes)[0].tolist(), len(text)}
+    after = {p + 1 for p, c in enumerate(text) if c in pieces.ENDS and text[p : p + 2] != "\r\n"} | {len(text)}
+    natural = after | {p for p, c in enumerate(text) if c in pieces.ENDS}
     out, start, prev = [], 0, 0
     while text:
         high = min(len(text), start + limit)
-        ends = [p for p in range(prev + 1, high + 1) if p in natural]
+        ends = [p for p in range(prev + 1, high + 1) if p in after]
         end = max(ends, default=high)
         out.append((max(start, 0), end, end in natural))
         if end >= len(text):
@@ -93,13 +97,22 @@ def brute_cuts(text, limit, overlap):
 @given(st.lists(st.text("ab。\n\r；cd𠮷", max_size=90), min_size=1, max_size=5), st.integers(2, 25), st.integers(0, 24))
 def test_cuts(texts, limit, overlap):
     overlap = min(overlap, limit - 1)
-    which, number, start, end, natural, _ = pieces.cuts(texts, limit, overlap)
+    which, number, start, end, natural = pieces.cuts(texts, limit, overlap)
     for i, t in enumerate(texts):
         at = which == i
         assert list(zip(start[at].tolist(), end[at].tolist(), natural[at].tolist(), strict=True)) == brute_cuts(t, limit, overlap)
         assert number[at].tolist() == list(range(1, at.sum() + 1))
 
 
+@settings(max_examples=300, deadline=None)
+@given(st.lists(st.text("ab。\n\r；c", max_size=60), min_size=1, max_size=4), st.integers(1, 12))
+def test_forced_means_a_run_over_the_limit(texts, limit):
+    which, _, _, _, natural = pieces.cuts(texts, limit, 0)
+    for i, t in enumerate(texts):
+        longest = max(map(len, re.split("[\r\n。！？；]", t)))
+        assert (not natural[which == i].all()) == (longest > limit)
+
+
 def test_pieces_and_their_citations(spark):
     text = "甲乙丙丁。" * 1000
     d = spark.createDataFrame([(1, text), (1, text), (2, "短"), (3, None), (None, text), (4, "x" * 2001)], "id long, clean_text string")
@@ -113,7 +126,7 @@ def test_pieces_and_their_citations(spark):
         if (r.item_table, r.item_id) in (("decisions", 1), ("chunks", 7)):
             shift = 100 if r.item_table == "chunks" else 0
             assert list(r.citation_ids) == [i for i in range(100) if r.start_pos <= i * 50 - shift < r.end_pos]
-    kinds = {(r.item_table, r.item_id): r.cut_kind for r in pieces.cut_kinds(pieces.pieces(items)).collect()}
+    kinds = {(r.item_table, r.item_id): r.cut_kind for r in pieces.cut_kinds(items).collect()}
     assert kinds == {("decisions", 1): "natural", ("chunks", 7): "natural", ("decisions", 4): "forced", ("chunks", 8): "forced"}
     assert pieces.pieces(items.limit(0)).collect() == []
 
