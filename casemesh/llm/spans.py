@@ -17,6 +17,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
+from casemesh.llm.hashing import mixed
 from casemesh.operators.durable import cut
 
 #: Characters of a shared span, at least; of the grams that anchors are taken from.
@@ -30,16 +31,6 @@ _BASE = 0x9E3779B97F4A7C15
 _POWERS: list[np.ndarray] = []
 
 
-def _mixed(x: np.ndarray) -> np.ndarray:
-    """Spreads 64-bit numbers, in place."""
-    x ^= x >> np.uint64(30)
-    x *= np.uint64(0xBF58476D1CE4E5B9)
-    x ^= x >> np.uint64(27)
-    x *= np.uint64(0x94D049BB133111EB)
-    x ^= x >> np.uint64(31)
-    return x
-
-
 def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """Powers of the base and of its inverse, modulo 2**64."""
     if not _POWERS or len(_POWERS[0]) < n:
@@ -59,8 +50,8 @@ def _hashes(text: str, *lengths: int) -> list[np.ndarray]:
     power, inverse = _powers(n)
     codes += np.uint64(77)
     sums = np.zeros(n + 1, dtype=np.uint64)
-    np.add.accumulate(_mixed(codes) * power, out=sums[1:])
-    return [_mixed((sums[k:] - sums[:-k]) * inverse[: n - k + 1]) if n >= k else np.empty(0, np.uint64) for k in lengths]
+    np.add.accumulate(mixed(codes) * power, out=sums[1:])
+    return [mixed((sums[k:] - sums[:-k]) * inverse[: n - k + 1]) if n >= k else np.empty(0, np.uint64) for k in lengths]
 
 
 def _smallest(x: np.ndarray, width: int) -> np.ndarray:
@@ -139,9 +130,9 @@ def _window_rows(batches: Iterator[pa.RecordBatch], span: int, gram: int) -> Ite
         flat = wanted.flatten().to_numpy(zero_copy_only=False).view(np.uint64)
         sizes = np.diff(wanted.offsets.to_numpy())
         own = np.repeat(np.arange(batch.num_rows, dtype=np.uint64), sizes)
-        keys = np.unique(_mixed(flat + own * np.uint64(0x9E3779B97F4A7C15)))
+        keys = np.unique(mixed(flat + own * np.uint64(0x9E3779B97F4A7C15)))
         for row, offset, anchor, h in _windows(batch.column(3).to_pylist(), span, gram, True):
-            k = _mixed(anchor + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
+            k = mixed(anchor + row.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))
             i = np.searchsorted(keys, k)
             hit = keys[np.minimum(i, len(keys) - 1)] == k if len(keys) else np.zeros(len(k), dtype=bool)
             at = pa.array(row[hit])

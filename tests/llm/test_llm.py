@@ -436,8 +436,28 @@ def test_stuffed_pages(spark):
 def test_counts_of_all_pages(spark):
     texts = ["甲乙甲乙", "甲乙", "ab ab ab ab"]
     df = spark.createDataFrame([(i, t, None, None) for i, t in enumerate(texts)], TEXTS).repartition(3)
-    tables = stuffing.corpus_tables(df)
+    values = {r.h: r for r in stuffing.pair_values(df).collect()}
     _, h, _ = stuffing.words(["甲乙"])
-    slot = stuffing._neighbours(np.zeros(2, int), h)[0][0]
-    assert np.isclose(float(tables["pair"][slot]), np.log(3), atol=1e-2) and np.isclose(float(tables["repeated"][slot]), np.log(1.5), atol=1e-2)
-    assert np.isclose(float(tables["log_words"]), np.log(10))
+    r = values[int(stuffing.neighbours(np.zeros(2, int), h)[0].view(np.int64)[0])]
+    assert (r.n, r.pages) == (3, 2) and np.isclose(r.repeated, np.log(1.5)) and len(values) == 3
+    assert np.isclose(r.information, np.log((3 / 7) / (3 / 10) ** 2))
+
+
+@pytest.mark.parametrize("held", [4, 1 << 21])
+def test_rare_pairs_are_joined(spark, monkeypatch, held):
+    monkeypatch.setattr(stuffing, "HELD", held)
+    rng = random.Random(10)
+    rows = [(i, " ".join(rng.choice(["ab", "甲乙", "cd", "丙", "9"]) for _ in range(rng.randrange(80))), "s", None) for i in range(60)] + [(99, None, "s", None), (5, "zz yy", "s", "")]
+    df = spark.createDataFrame(rows, TEXTS)
+    whole = {r.doc_id: tuple(r)[1:] for r in stuffing.stuffing(df).collect()}
+    for most in (0, 7):
+        part = {r.doc_id: tuple(r)[1:] for r in stuffing.stuffing(df, most).collect()}
+        assert set(part) == set(whole) and all(np.allclose(part[i], whole[i]) for i in whole)
+
+
+def test_table_of_pairs():
+    h = np.unique(np.random.default_rng(1).integers(1, 1 << 63, 5000).astype(np.uint64) << np.uint64(8))  # all in a few slots
+    t = stuffing.Table(h, np.arange(len(h), dtype=np.float32), -np.arange(len(h), dtype=np.float32))
+    slot, there = t.find(np.concatenate([h, h + np.uint64(1)]))
+    assert there[: len(h)].all() and not there[len(h) :].any()
+    assert (t.values[slot[: len(h)], 0] == np.arange(len(h))).all() and (t.values[slot[: len(h)], 1] == -np.arange(len(h))).all()
