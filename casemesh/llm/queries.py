@@ -83,13 +83,14 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @REGISTRY.query("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return neighbours.mutual_pairs(neighbours.nearest(load(spark, sf_dir, "chunks")))
+    chunks = load(spark, sf_dir, "chunks")
+    return neighbours.mutual_pairs(neighbours.nearest(chunks), chunks)
 
 
 @REGISTRY.query("p6_nearest")
 def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     near = neighbours.nearest(load(spark, sf_dir, "chunks"))
-    return near.select(F.col("id").alias("chunk_id"), "rank", F.col("other").alias("other_id"), F.round("cosine", 6).alias("cosine"))
+    return near.select(F.col("id").alias("chunk_id"), "rank", F.col("other").alias("other_id"), F.round("cosine", 4).alias("cosine"))
 
 
 def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:

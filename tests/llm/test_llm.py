@@ -179,9 +179,10 @@ def chunks(spark, rows):
     return spark.createDataFrame([(i, None if v is None else [float(x) for x in v], "n") for i, v in rows], "id long, embedding array<float>, note string")
 
 
-@pytest.mark.parametrize("crowd", [60, 8192])
-def test_nearest(spark, monkeypatch, crowd):
-    monkeypatch.setattr(neighbours, "CELL_MEMBERS", crowd)
+@pytest.mark.parametrize(("block", "divided"), [(60, 1 << 18), (1 << 15, 1 << 18), (50, 100)])
+def test_nearest(spark, monkeypatch, block, divided):
+    monkeypatch.setattr(neighbours, "BLOCK", block)
+    monkeypatch.setattr(neighbours, "DIVIDED", divided)
     rng = np.random.default_rng(3)
     centre = rng.normal(size=(20, 64))
     rows = [(i, (centre[i % 20] + 0.5 * rng.normal(size=64)) * rng.uniform(0.1, 9)) for i in range(900)]
@@ -189,50 +190,57 @@ def test_nearest(spark, monkeypatch, crowd):
     near = neighbours.nearest(chunks(spark, rows)).toPandas()
     exact = neighbours.exact_nearest(pd.DataFrame([(i, np.asarray(v, dtype=np.float32)) for i, v in rows if i is not None and v is not None and i != 5003], columns=["id", "embedding"]))
     got = near.groupby("id")["other"].apply(set).to_dict()
-    assert set(got) <= set(exact) and not near.duplicated(["id", "other"]).any() and (near["id"] != near["other"]).all()
+    assert set(got) == set(exact) and not near.duplicated(["id", "other"]).any() and (near["id"] != near["other"]).all()
     plain = [i for i in exact if i < 2000 and i % 20 != 5]
-    assert np.mean([len(got.get(i, set()) & set(exact[i])) / 5 for i in plain]) >= 0.9
+    assert np.mean([len(got.get(i, set()) & set(exact[i])) / 5 for i in plain]) >= 0.95
     assert got[2003] == {5, 2000, 2001, 2002, 2004}
-    assert near["rank"].between(1, 5).all()
+    assert near["rank"].between(1, 5).all() and (near.groupby("id").size() == 5).all()
+
+
+def test_few_vectors_find_all_others(spark):
+    rng = np.random.default_rng(14)
+    rows = [(i, rng.normal(size=64)) for i in range(30)]
+    near = neighbours.nearest(chunks(spark, rows)).toPandas()
+    exact = neighbours.exact_nearest(pd.DataFrame(rows, columns=["id", "embedding"]))
+    assert near.sort_values(["id", "rank"]).groupby("id")["other"].apply(list).to_dict() == exact
+    two = neighbours.nearest(chunks(spark, rows[:2])).toPandas()
+    assert sorted(zip(two["id"], two["other"], strict=True)) == [(0, 1), (1, 0)]
+    assert neighbours.nearest(chunks(spark, rows[:1])).collect() == []
 
 
 def test_mutual_pairs(spark):
     rng = np.random.default_rng(4)
     v = rng.normal(size=64)
     rows = [(1, v), (2, v * 3), (3, v + 0.05 * rng.normal(size=64)), (4, -v)] + [(10 + i, rng.normal(size=64)) for i in range(50)]
-    pairs = {tuple(r) for r in neighbours.mutual_pairs(neighbours.nearest(chunks(spark, rows))).collect()}
-    assert pairs == {(1, 2), (1, 3), (2, 3)}
+    w, u = np.zeros(64), np.zeros(64)
+    w[0], u[0], u[1] = 1, 0.9, np.sqrt(1 - 0.9**2)
+    low = np.zeros(64)
+    low[2], low[3] = 0.89999, np.sqrt(1 - 0.89999**2)
+    rows += [(100, w), (101, u), (102, np.roll(w, 2)), (103, low)]
+    df = chunks(spark, rows)
+    pairs = {tuple(r) for r in neighbours.mutual_pairs(neighbours.nearest(df), df).collect()}
+    assert pairs == {(1, 2), (1, 3), (2, 3), (100, 101)}
     assert neighbours.nearest(chunks(spark, [])).collect() == []
 
 
-@pytest.mark.parametrize("second", [1, 4, 16, 64])
-def test_cells_are_distinct(second):
+def test_top_members():
+    rng = np.random.default_rng(5)
+    q, x = rng.normal(size=(1500, 8)).astype(np.float32), rng.normal(size=(9000, 8)).astype(np.float32)
+    for keep in (1, 6):
+        row, col, dot = neighbours.top_members(q, x, keep)
+        want = -np.sort(-(q @ x.T), axis=1)[:, :keep]
+        assert np.allclose(dot.reshape(-1, keep), want, atol=1e-5) and (row == np.repeat(np.arange(1500), keep)).all()
+        assert np.allclose((q[row] * x[col]).sum(1), dot, atol=1e-5)
+    row, col, _ = neighbours.top_members(x, x, 3, np.arange(9000))
+    assert (row != col).all() and len(row) == 27000
+
+
+@pytest.mark.parametrize("parts", [2, 4, 64, 128, 512, 1 << 15])
+def test_parts_are_distinct(parts):
     x = np.random.default_rng(5).normal(size=(50, 64)).astype(np.float32)
-    c = neighbours.cells(x, 0, second, neighbours.PROBES_TABLES[second][0])
-    assert c.max() < 128 * second and all(len(set(r)) == len(r) for r in c)
-
-
-@pytest.mark.parametrize("second", [4, 16, 64])
-def test_recall_of_large_collections(second):
-    rng = np.random.default_rng(6)
-    unit = lambda v: v / np.linalg.norm(v, axis=1)[:, None]
-    n = neighbours.ONE_ROTATION + 4000
-    topics = unit(rng.normal(size=(64, 64)).astype(np.float32))
-    x = unit(unit(rng.normal(size=(n, 64)).astype(np.float32)) + 0.85 * topics[np.arange(n) % 64])
-    at = np.arange(0, n, 1000)
-    near = []
-    for i in at:
-        s = x @ x[i]
-        s[i] = -1
-        near.append(np.argpartition(-s, 5)[:5])
-    others = np.stack(near)
-    found = np.zeros(others.shape, dtype=bool)
-    probes, tables = neighbours.PROBES_TABLES[second]
-    for t in range(tables):
-        own = neighbours.cells(x[at], t, second, probes)
-        cells = neighbours.cells(x[others.ravel()], t, second, probes).reshape(*others.shape, -1)
-        found |= (own[:, None, :, None] == cells[:, :, None, :]).any((2, 3))
-    assert found.mean() >= 0.99
+    p = neighbours.parts_of(x, 0, parts)
+    assert p.max() < parts and p.shape == (50, neighbours.parts_probed(parts)) and all(len(set(r)) == len(r) for r in p)
+    assert neighbours.tables_of(1) == 10 and neighbours.tables_of(1 << 24) == 20
 
 
 # --- spans -----------------------------------------------------------------------------------------------------------
