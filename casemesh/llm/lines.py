@@ -14,13 +14,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window as W
 
 from casemesh.functions.plain import squeezed, stripped
+from casemesh.llm.joins import marked
 from casemesh.operators.durable import cut
 
 #: A line is boilerplate from so many characters, documents and share of its unit's documents.
 MIN_CHARS, MIN_DOCUMENTS, MIN_SHARE = 8, 5, 0.04
-#: Blocks' lines up to which they are broadcast: of 16 bytes each in the table that is sent, 3 MB; above, lines are shuffled.
-BROADCAST_LINES = 200_000
-SALTS = 32
 
 
 def unit_of(c: Column) -> Column:
@@ -75,14 +73,6 @@ def _blocks(pdf: pd.DataFrame) -> pd.DataFrame:
     )
 
 
-def _marked(lines: DataFrame, marks: DataFrame, n: int) -> DataFrame:
-    """The lines that are among the marks (h1, h2, ...), joined by salt where the marks aren't few: a line may be most documents'."""
-    if n <= BROADCAST_LINES:
-        return lines.join(F.broadcast(marks), ["h1", "h2"])
-    salt = F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)))
-    return lines.withColumn("salt", F.pmod("id", F.lit(SALTS)).cast("int")).join(marks.withColumn("salt", salt), ["h1", "h2", "salt"]).drop("salt")
-
-
 def block_occurrences(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """From (id, unit, text): occurrences (id, unit, block, run, line_nos) of boilerplate blocks, and their lines (unit, h1, h2, n, block).
 
@@ -101,7 +91,7 @@ def block_occurrences(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     strong = F.col("n") >= F.lit(MIN_SHARE) * F.col("documents")
     nodes = cut(enough.join(sizes, "unit").where(strong).select("unit", "h1", "h2", "n", "documents"))
     n = nodes.count()
-    hits = cut(_marked(lines, nodes.select("h1", "h2"), n).select("id", "unit", "line_no", "h1", "h2").distinct())
+    hits = cut(marked(lines, nodes.select("h1", "h2"), ["h1", "h2"], n).select("id", "unit", "line_no", "h1", "h2").distinct())
     within = W.partitionBy("id", "unit").orderBy("line_no")
     follow = hits.withColumns({"n1": F.lead("h1").over(within), "n2": F.lead("h2").over(within)}).where("n1 is not null and n2 is not null")
     edges = _support(follow, "unit", "h1", "h2", "n1", "n2").join(sizes, "unit").where(strong & (F.col("n") >= MIN_DOCUMENTS))
@@ -110,7 +100,7 @@ def block_occurrences(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         edges.select("unit", "h1", "h2", "n", F.lit(True).alias("edge"), "n1", "n2")
     )
     blocks = cut(graph.groupBy("unit").applyInPandas(_blocks, "unit string, h1 long, h2 long, n long, block long"))
-    of_block = _marked(hits, blocks.select("h1", "h2", "block"), n)
+    of_block = marked(hits, blocks.select("h1", "h2", "block"), ["h1", "h2"], n)
     new = F.coalesce(F.lag("block").over(within) != F.col("block"), F.lit(True)).cast("int")
     runs = of_block.withColumn("new", new).withColumn("run", F.sum("new").over(within))
     # a run has no more lines than its document

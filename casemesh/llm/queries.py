@@ -93,24 +93,38 @@ def p6_nearest(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near.select(F.col("id").alias("chunk_id"), "rank", F.col("other").alias("other_id"), F.round("cosine", 4).alias("cosine"))
 
 
-def _windows(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, DataFrame]:
-    d, c = load(spark, sf_dir, "decisions"), load(spark, sf_dir, "citations")
-    return spans.shared_windows(d, c), d, c
+def _shared(spark: SparkSession, sf_dir: str) -> spans.Shared:
+    return spans.Shared(load(spark, sf_dir, "decisions"), load(spark, sf_dir, "citations"))
 
 
 @REGISTRY.query("p7_found")
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.sharing_pairs(_windows(spark, sf_dir)[0])
+    return _shared(spark, sf_dir).pairs()
+
+
+@REGISTRY.query("p7_classes")
+def p7_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared(spark, sf_dir).classes().select("record_table", "class_id", "record_id")
 
 
 @REGISTRY.query("p7_shares")
 def p7_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.shared_parts(*_windows(spark, sf_dir))
+    return _shared(spark, sf_dir).parts()
 
 
 @REGISTRY.query("p7_stretches")
 def p7_stretches(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spans.shared_stretches(_windows(spark, sf_dir)[0])
+    return _shared(spark, sf_dir).stretches()
+
+
+@REGISTRY.query("p7_removals")
+def p7_removals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared(spark, sf_dir).removals()
+
+
+@REGISTRY.query("p7_texts")
+def p7_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _shared(spark, sf_dir).remaining()
 
 
 @REGISTRY.query("p8_bins")

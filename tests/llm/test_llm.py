@@ -10,7 +10,7 @@ import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from casemesh.llm import lines, mixing, neighbours, packing, pieces, private, spans, stuffing, tokens
+from casemesh.llm import joins, lines, mixing, neighbours, packing, pieces, private, spans, stuffing, tokens
 
 # --- lines -----------------------------------------------------------------------------------------------------------
 
@@ -33,9 +33,9 @@ def brute_lines(rows):
     return {(i, n) for i, (u, t) in docs.items() for n, x in enumerate(re.split("\r?\n", t), 1) if (u, signs(x)) in hot}
 
 
-@pytest.mark.parametrize("limit", [0, 200_000])
+@pytest.mark.parametrize("limit", [0, 16 << 20])
 def test_repeated_lines(spark, monkeypatch, limit):
-    monkeypatch.setattr(lines, "BROADCAST_LINES", limit)
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
     rng = random.Random(1)
     notice = ["本網頁內容僅供參考用", "分享本裁判：電子郵件", "短句", "服務電話：(02)1234", "服　務電話：（０２）１２３４"]
     rows = []
@@ -260,33 +260,70 @@ def brute_shared(rows, size=120):
     return pairs, {i: len(c) for i, c in cover.items()}
 
 
-@pytest.mark.parametrize(("ids", "piece"), [(0, 1 << 20), (10**6, 700)])
-def test_shared_spans(spark, monkeypatch, ids, piece):
-    monkeypatch.setattr(spans, "BROADCAST_IDS", ids)
+def brute_removals(rows, size=120):
+    """What earlier records have, character by character: windows, and whole lines that are equal when normalised."""
+    plain = lambda x: "".join(chr(ord(c) - 0xFEE0) if "！" <= c <= "～" else c for c in x if not c.isspace())
+    first, ents, out = {}, defaultdict(set), defaultdict(set)
+    real = sorted({r[0]: r for r in rows if r[0] is not None and r[2]}.values())
+    units = {}
+    for i, e, t in real:
+        units[i] = [(("w", t[p : p + size]), p, p + size) for p in range(len(t) - size + 1)]
+        units[i] += [(("l", plain(m[0])), m.start(), m.end()) for m in re.finditer(rf"[^\r\n]{{{size},}}", t)]
+        for k, _, _ in units[i]:
+            first.setdefault(k, i)
+            ents[k].add(e)
+    for i, _, _ in real:
+        for k, a, b in units[i]:
+            if first[k] < i and len(ents[k]) > 1:
+                out[i] |= set(range(a, b))
+    return out
+
+
+@pytest.mark.parametrize(("limit", "piece"), [(0, 1 << 20), (16 << 20, 700)])
+def test_shared_spans(spark, monkeypatch, limit, piece):
+    monkeypatch.setattr(joins, "BROADCAST_BYTES", limit)
+    monkeypatch.setattr(spans, "BROADCAST_BYTES", limit)
     monkeypatch.setattr(spans, "PIECE", piece)
     rng = random.Random(6)
     word = lambda n: "".join(rng.choice("甲乙丙丁戊己庚辛\r\n，。𠮷ab") for _ in range(n))
     shared = [word(n) for n in (119, 120, 121, 300, 900)]
     rows = [(i, i, "".join(x for s in shared for x in (word(rng.randrange(60)), s if rng.random() < 0.15 else ""))) for i in range(60)]
+    line = "".join(rng.choice("子丑寅卯辰巳ＡB") for _ in range(200))
+    rows += [(200 + i, 200 + i, f"{word(20)}\r\n{line if i % 4 else line[40:170] if i % 8 else line.replace('Ａ', 'A　')}\n{word(30)}") for i in range(16)]
     rows += [(100, 100, "重" * 500), (101, 101, "重" * 200), (102, 102, None), (103, 103, ""), (None, None, shared[4])]
     d = spark.createDataFrame([(i, t) for i, _, t in rows] + [(rows[0][0], rows[0][2])], "id long, clean_text string")
-    snippets = [(i, i % 7, shared[3] if i % 5 == 0 else word(150)) for i in range(40)]
+    snippets = [(i, i % 7, shared[3] if i % 5 == 0 else line + word(9) if i % 3 == 0 else word(150)) for i in range(40)]
     c = spark.createDataFrame([(i, e, t) for i, e, t in snippets], "id long, source_id long, snippet string")
-    w = spans.shared_windows(d, c)
-    got = {tuple(r) for r in spans.sharing_pairs(w).collect()}
+    w = spans.Shared(d, c)
+    got = {tuple(r) for r in w.pairs().collect()}
     pd_, cover_d = brute_shared(rows)
     pc, cover_c = brute_shared(snippets)
     assert pd_ and pc and got == {("decisions", *p) for p in pd_} | {("citations", *p) for p in pc}
-    parts = {(r.record_table, r.record_id): r.shared_chars for r in spans.shared_parts(w, d, c).collect()}
+    parts = {(r.record_table, r.record_id): r.shared_chars for r in w.parts().collect()}
+    lines_too = {k: set() for k in ("decisions", "citations")}
+    for r in w.lines.collect():
+        lines_too[r.record_table].add(r.id)
+    assert lines_too["decisions"] and w.lines.where("not kept").count() > 3
     assert parts == {("decisions", i): n for i, n in cover_d.items()} | {("citations", i): n for i, n in cover_c.items()}
-    for r in spans.shared_stretches(w).collect():
+    members = defaultdict(set)
+    for r in w.classes().collect():
+        members[r.class_id].add((r.record_table, r.record_id, r.ent))
+    assert {(t, min(a, b), max(a, b)) for m in members.values() for t, a, e in m for _, b, f in m if a != b and e != f} == got
+    for r in w.stretches().collect():
         assert r.end_pos - r.start_pos >= 120
+    text = {("decisions", i): t for i, _, t in rows} | {("citations", i): t for i, _, t in snippets}
+    gone = {("decisions", i): x for i, x in brute_removals(rows).items()} | {("citations", i): x for i, x in brute_removals(snippets).items()}
+    left = {(r.record_table, r.record_id): r for r in w.remaining().collect()}
+    assert gone and set(left) == {k for k, t in text.items() if k[1] is not None and t and len(t) >= 120}
+    for k, r in left.items():
+        assert r.text == "".join(ch for p, ch in enumerate(text[k]) if p not in gone.get(k, ())) and r.removed_chars == len(gone.get(k, ()))
 
 
 def test_no_spans(spark):
     d = spark.createDataFrame([], "id long, clean_text string")
     c = spark.createDataFrame([], "id long, source_id long, snippet string")
-    assert spans.sharing_pairs(spans.shared_windows(d, c)).collect() == []
+    s = spans.Shared(d, c)
+    assert s.pairs().collect() == [] and s.parts().collect() == [] and s.remaining().collect() == []
 
 
 # --- packing and mixing ----------------------------------------------------------------------------------------------
