@@ -1,9 +1,10 @@
 """Personal information in free text, and typed placeholders for it.
 
 Method: patterns propose spans, validators (check digits of identity numbers, Luhn for cards, mod 97 for bank accounts) and
-the words near a span raise or lower its score, and spans above a threshold are taken. Names have no pattern of their own:
-a name is what stands between the words that only people are named between (after a party's label, before an identity
-number, "... signed for it"), unless the words say a court's officer, a company or a role.
+the words near a span raise or lower its score, and spans above a threshold are taken. Names are scored in the same way:
+what stands before (a party's label, a role, a relative, a preposition), what stands after (what a person does, a contact or
+number, a particle) and the name itself (a surname, no signs that names don't have) each give a part, and words that say a
+court's officer, a company or a role rule a name out. A name that was found is one everywhere in its text.
 """
 
 from __future__ import annotations
@@ -46,6 +47,9 @@ _PHONE_CN = re.compile(rf"(?<![{_CN}])[〇零○]九[{_CN}]{{2}}[-－ ]?[{_CN}]{
 _IDNO = re.compile(
     rf"(?<![A-Za-zＡ-Ｚａ-ｚ{_D}+/=_])[A-Za-zＡ-Ｚａ-ｚ](?:[-－ ]?[1289１２８９]|[A-Da-dＡ-Ｄａ-ｄ])(?:[-－ ]?[{_D}]){{8}}(?![A-Za-zＡ-Ｚａ-ｚ{_D}*＊+/=_])"
 )
+_PHONE_FOREIGN = re.compile(rf"(?<![{_D}A-Za-z])[+＋](?![8８]{{2}}[6６])[{_D}]{{1,3}}[-－. 　]?(?:[(（][{_D}]{{1,4}}[)）])?(?:[-－. 　]?[{_D}]{{2,4}}){{2,4}}(?![{_D}A-Za-z])")
+_SSN = re.compile(rf"(?<![-－{_D}A-Za-z])[{_D}]{{3}}[-－][{_D}]{{2}}[-－][{_D}]{{4}}(?![-－{_D}A-Za-z])")
+_PASSPORT = re.compile(rf"(?:護照(?:號碼|字號|號)?|居留證(?:號碼|號)|[Pp]assport(?: [Nn]o\.?)?)[ 　]*[：:]?[ 　]*([A-Za-z]{{0,2}}[{_D}]{{7,9}})(?![{_D}A-Za-z])")
 _LONG_NUMBER = re.compile(rf"(?<![{_D}A-Za-z])[{_D}](?:[- －]?[{_D}]){{12,18}}(?![{_D}A-Za-z])")
 _IBAN = re.compile(r"(?<![A-Za-z0-9])[A-Z]{2}\d{2}(?: ?[A-Z0-9]{4}){3,7}(?: ?[A-Z0-9]{1,3})?(?![A-Za-z0-9])")
 
@@ -66,45 +70,62 @@ _ADDRESS_EN = re.compile(
 # --- names -----------------------------------------------------------------------------------------------------------
 
 _HAN = "㐀-鿿豈-﫿\U00020000-\U0003ffff"
-_HAN_NAME = rf"[{_HAN}]{{2,4}}"
+_DOTS = "．·・‧•"
+_DOT_SIGNS = frozenset(_DOTS)
+_LATIN_AT, _LATIN_END = re.compile(r"[A-Za-zÀ-ɏ]+(?:[-'’.．·・‧• ][A-Za-zÀ-ɏ]+){1,3}"), re.compile(r"[-'’.．·・‧• ]*([A-Za-zÀ-ɏ]+(?:[-'’.．·・‧• ][A-Za-zÀ-ɏ]+){1,3})$")
+_HAN_AT, _DOTTED_AT = re.compile(f"[{_HAN}]{{1,4}}"), re.compile(f"[{_HAN}]+(?:[{_DOTS}][{_HAN}]+)+")
+_HAN_END, _DOTTED_END = re.compile(f"[{_HAN}]"), re.compile(f"[{_HAN}{_DOTS}]")
 _LATIN_NAME = r"[A-Za-zÀ-ɏ]+(?:[-'’.．·・‧• ][A-Za-zÀ-ɏ]+){1,3}"
-_NAME = rf"(?:{_HAN_NAME}|{_LATIN_NAME})"
-#: Words for parties and other roles in a case, which are no names.
+# Common surnames of one sign, those that are common words as well, and of two signs.
+SURNAMES = frozenset(
+    "王李張劉陳楊黃趙吳周徐孫馬朱胡郭何林羅鄭梁謝宋唐許韓馮鄧曹彭曾蕭蔡潘田董袁余葉蔣杜蘇魏呂丁沈姚盧姜崔鍾譚陸汪范廖石韋賈夏傅鄒熊孟秦邱江尹薛閻段雷侯龍陶黎賀顧毛郝龔邵萬錢嚴賴覃洪莫孔涂柯游詹簡施翁"
+    "倪俞樊聶闕褚岳穆卓湛鞏柏鄔厲翟蒲卞霍戎殷晏席竺司端尉康伍喻艾紀路婁童顏梅盛刁駱霍虞柳鮑史費廉岑滕畢祁狄臧戴紅凌巫焦巴牧隗山谷車侯宓蓬仇欒暴甘祖武符景詹束"
+)
+MAYBE_SURNAMES = frozenset("高金方白成易常溫文明向應時江安官連全元平和古井房都於有包水章花魯危解辛葛左步")
+DOUBLE_SURNAMES = frozenset("歐陽 司馬 尉遲 端木 上官 諸葛 司徒 夏侯 皇甫 公孫 令狐 慕容 長孫 宇文 東方 南宮 張簡 范姜".split())
+# Signs that hardly stand in a given name.
+NO_NAME = frozenset("的之於以及其為無因並而等元月號條項款法院案件應該此彼他她我你們被將已未不是在有所與或則即但向對由至自到請求告訴訟判決裁定書證據原本卷按查經均亦且就從得給付款額契約權利義務處分部庭級審當事兩造認稱述辯載示知說問答何誰某個次第百千萬億零各每另再又若如雖然故乃遂竟仍尚還都也者乎矣焉哉")
+# Words for parties and other roles in a case, which are no names, but names follow them.
 ROLES = frozenset(
-    "原告 被告 上訴人 被上訴人 聲請人 相對人 抗告人 再抗告人 參加人 告訴人 告發人 自訴人 公訴人 債權人 債務人 證人 鑑定人 關係人 第三人 出賣人 買受人 出租人 承租人 定作人 承攬人 "
-    "保證人 管理人 委任人 受任人 代理人 受僱人 僱用人 繼承人 被繼承人 監護人 輔助人 合夥人 鄰居 配偶 檢察官 法官 書記官 兩造 當事人 本院 原審 法院 渠等 其 伊 該 他 上開 系爭".split()
+    "原告 被告 上訴人 被上訴人 聲請人 相對人 抗告人 再抗告人 參加人 告訴人 告發人 自訴人 公訴人 債權人 債務人 證人 鑑定人 關係人 第三人 訴外人 被害人 受害人 出賣人 買受人 出租人 承租人 定作人 承攬人 "
+    "保證人 管理人 委任人 受任人 代理人 受僱人 僱用人 繼承人 被繼承人 監護人 輔助人 合夥人 共有人 鄰居 配偶 友人 朋友 同事 同學 房東 屋主 員工 病患 駕駛人 聯絡人 聯繫人 收件人 寄件人 簽收人 匯款人 受款人 所有人 "
+    "檢察官 法官 書記官 兩造 當事人 本院 原審 法院 渠等 其 伊 該 他 上開 系爭".split()
 )
+_LONG_ROLES = tuple(sorted(r for r in ROLES if len(r) > 1))
+_NOT_BEFORE = "檢察官 法官 書記官 兩造 當事人 本院 原審 法院 渠等 其 伊 該 他 上開 系爭".split()
+KIN = "父 母 父親 母親 夫 妻 子 女 兄 弟 姊 妹 配偶 長子 次子 長女 次女 胞兄 胞弟 胞姊 胞妹 祖父 祖母 外祖父 外祖母 岳父 岳母 女兒 兒子 丈夫 妻子 前夫 前妻 男友 女友 友人 員工 受僱人 代理人 同居人".split()
+_ROLE_WORDS = sorted({r for r in ROLES if len(r) > 1 and r not in _NOT_BEFORE} | {f"{o}{k}" for o in "之其伊" for k in KIN} | {"證人即", "姓名", "法定代理人", "訴訟代理人", "連帶保證人"}, key=lambda w: (-len(w), w))
+_ROLE = re.compile(rf"(?:{'|'.join(_ROLE_WORDS)})(?:即)?[ 　]*[：:]?[ 　]*(?=[{_HAN}A-Za-zÀ-ɏ])")
+_ROLE_BEFORE = re.compile(rf"(?:{'|'.join(_ROLE_WORDS)})(?:即)?[ 　]*[：:]?[ 　]*$")
+_NARRATIVE = re.compile(r"(?<![㐀-鿿])(?:嗣後|嗣|詎料|詎|迨|俟)(?=[㐀-鿿A-Za-z])")
 _COMPANY = re.compile(r"(?:公司|企業社|工程行|商行|商號|合作社|基金會|協會|委員會|管理處|分局|大學|醫院|銀行|法院|檢察署|簡易庭|分院|地方庭|[行社廠店局署府處])$")
+_COMPANY_ON = re.compile(r"[㐀-鿿]{0,10}?(?:公司|企業社|工程行|商行|商號|合作社|基金會|協會|委員會|管理處|分局|大學|醫院|銀行|法院|檢察署)")
+_COMPANY_LATIN = re.compile(r"\b(?:co|ltd|inc|corp|llc|bank|company|limited|group)\b", re.I)
 _LABEL = re.compile(
     r"(?m)^[ 　]*(?:原[ 　]*告|被[ 　]*告|(?:被[ 　]*)?上[ 　]*訴[ 　]*人|聲[ 　]*請[ 　]*人|相[ 　]*對[ 　]*人|(?:再[ 　]*)?抗[ 　]*告[ 　]*人|參[ 　]*加[ 　]*人|告[ 　]*訴[ 　]*人|自[ 　]*訴[ 　]*人|"
     r"債[ 　]*權[ 　]*人|債[ 　]*務[ 　]*人|證[ 　]*人|關[ 　]*係[ 　]*人|第[ 　]*三[ 　]*人|(?:法[ 　]*定|訴[ 　]*訟)[ 　]*代[ 　]*理[ 　]*人|繼[ 　]*承[ 　]*人|被[ 　]*害[ 　]*人)"
-    rf"[ 　：:]+({_HAN_NAME}|{_LATIN_NAME})(?=[ 　（(，]|\r?$)"
+    rf"[ 　：:]+([{_HAN}]+(?:[{_DOTS}][{_HAN}]+)*|{_LATIN_NAME})(?=[ 　（(，、]|\r?$)"
+)
+# What a person does, right after the name; titles; signs that begin a sentence's rest.
+_ACTS = re.compile(
+    r"到庭|到場|到案|證稱|證述|結證|供稱|供述|陳稱|陳述|陳明|指稱|指訴|指述|指證|具結|自承|自白|坦承|坦認|否認|答稱|辯稱|辯以|主張|抗辯|表示|自陳|簽收|代收|收受|收取|簽名|簽章|用印|確[為係有]|代為|死亡|受傷|受僱|任職|出庭|出面|出具|"
+    r"於(?:偵查|審理|警詢|警局|訊問|本院|原審|準備程序|言詞辯論|[0-9０-９民])|所[寄有簽]|借[款貸用得]|購[買得]|承租|租用|索討|催討|催告|求償|請求|買受|受讓|給付|返還|匯款|賠償|駕駛|騎乘|搭乘|提起|委任|女士|先生|小姐|君(?=[，。、（(])|等[一二三四五六七八九十0-9]*人"
 )
-#: Words right after a name, with what must come before it: a sign (S) or one of the words, and what must follow.
-_AFTER = (
-    ("簽收", r"由", ""),
-    ("證稱", r"證人", ""),
-    ("確為", r"[，,]", ""),
-    ("（身分證", "S", ""),
-    ("(身分證", "S", ""),
-    ("（電話", "S", ""),
-    ("(電話", "S", ""),
-    ("（", "S", _IDNO.pattern + "[）)]"),
-    ("(", "S", _IDNO.pattern + "[）)]"),
-    ("（住", "S", ""),
-    ("曾以", "S", r"[+＋(（0-9０-９A-Za-z〇零]"),
-    ("自", r"有", r"[A-Za-z0-9Ａ-Ｚａ-ｚ０-９][^，。]{3,60}寄"),
-    ("以", r"依", r"[A-Za-z0-9Ａ-Ｚａ-ｚ０-９][^，。]{3,60}所寄"),
-    ("因", r"嗣", r"[^，。]{2,20}，未依約"),
-    ("住", "S", rf"(?:{_PLACE}{{2}}[市縣]|No\.|{_PLACE}{{1,4}}(?:路|街)|\d)"),
+_NO_PERSON_AFTER = re.compile(r"律師|檢察官|法官|書記官|司法事務官|審判長")
+_TO_CONTACT = re.compile(
+    r"(?:曾|並|再|另|即|又)?(?:自|以|用|從|透過|使用|經由|藉由|藉|留存|留有|撥打)$|(?:現|原)?(?:住|居住於|居|設籍於|設籍|戶籍設|住所)(?:於|在|址)?[：:]?$"
+    r"|[（(](?:(?:國民)?身分證(?:統一編號|字號|號碼|號)?|統一編號|護照號碼|電話|手機|行動電話|聯絡電話|住址|地址|住所|住|居|信箱|電子信箱|電子郵件|[Ee]-?mail)?(?:為|是)?[：: ]?$"
+    r"|(?:之|的)?(?:電話|手機|行動電話|聯絡電話|信箱|電子信箱|電子郵件|身分證(?:統一編號|字號|號碼|號)?|住址|地址)(?:為|是|：|:)$"
 )
-_BEFORE = {
-    before: re.compile((r"(?:^|(?<=[。，、；：！？\n\r）)」』 　.．㈠-㊿①-⓿]))" if before == "S" else before) + rf"({_HAN_NAME}|{_LATIN_NAME})$")
-    for before in {b for _, b, _ in _AFTER}
-}
-_FOLLOW = {f: re.compile(f.replace(r"(?<![", r"(?:(?<![", 1) + ")" if f.startswith("(?<!") else f) for f in {f for _, _, f in _AFTER} if f}
+_CONTACT_LABEL = re.compile(r"[（(](?:(?:國民)?身分證|統一編號|電話|手機|住|電子信箱|信箱)")
+_EDGES = frozenset("。，、；：！？\n\r）)」』「『（( 　.．:,;") | {chr(c) for r in (range(0x3220, 0x3290), range(0x2460, 0x2500)) for c in r}
+_WEAK_BEFORE, _WEAK_AFTER = frozenset("由向與對有依經請令和跟給替及讓予據從"), frozenset("於在因以自曾已前為係即未不向與及和對就所之等並亦也雖則仍乃竟遂均經受從到至得嗣既復有另更再又住")
 #: Words before the name of a court's officer.
 _OFFICER = re.compile(r"(?:法[ 　]*官|書[ 　]*記[ 　]*官|審[ 　]*判[ 　]*長|編[ 　]*輯|覆[ 　]*核|校[ 　]*對|製[ 　]*作|司法事務官|檢察官|通譯)[ 　：:]*$")
+#: Scores: a name is taken from NAME_THRESHOLD; what its surroundings and the name itself give.
+NAME_THRESHOLD = 0.7
+_AT_LABEL, _AT_ROLE, _AT_NARRATIVE, _AT_WEAK, _AT_EDGE = 0.6, 0.4, 0.35, 0.2, 0.15
+_BY_CONTACT, _BY_ACT, _BY_WEAK, _BY_EDGE = 0.4, 0.35, 0.15, 0.15
 
 # --- scores ----------------------------------------------------------------------------------------------------------
 
@@ -137,6 +158,12 @@ def id_holds(s: str) -> bool:
     return sum(d * w for d, w in zip(digits, (1, 9, 8, 7, 6, 5, 4, 3, 2, 1, 1), strict=True)) % 10 == 0
 
 
+def ssn_holds(s: str) -> bool:
+    """Whether a social security number's parts are ones that are given out."""
+    area, group, serial = (int(x) for x in re.split("-", plain(s)))
+    return area not in (0, 666) and area < 900 and group > 0 and serial > 0
+
+
 def luhn_holds(s: str) -> bool:
     digits = [int(c) for c in plain(s) if c.isdigit()]
     total = sum(digits[-1::-2]) + sum(sum(divmod(2 * d, 10)) for d in digits[-2::-2])
@@ -163,49 +190,152 @@ def _scored(text: str, kind: str, start: int, end: int) -> float:
     return score
 
 
-def _is_name(name: str) -> bool:
-    if name in ROLES or "○" in name or "〇" in name:
-        return False
-    if re.match(r"[A-Za-zÀ-ɏ]", name):
-        return True
-    return not (_COMPANY.search(name) or any(name.endswith(r) or name.startswith(r) for r in ROLES if len(r) > 1))
+def _likely(name: str) -> float | None:
+    """What a name gives to its own score; None if it can't be one."""
+    if name in ROLES or "○" in name or "〇" in name or "Ｏ" in name:
+        return None
+    if name[0].isascii() or "À" <= name[0] <= "ɏ":
+        return None if _COMPANY_LATIN.search(name) else 0.3
+    if not _DOT_SIGNS.isdisjoint(name):
+        return None if any(len(p) > 6 for p in re.split(f"[{_DOTS}]", name)) else 0.25
+    double = name[:2] in DOUBLE_SURNAMES and len(name) > 2
+    if not NO_NAME.isdisjoint(name[2 if double else 1 :]) or name.startswith(_LONG_ROLES) or name.endswith(_LONG_ROLES) or _COMPANY.search(name):
+        return None
+    if double:
+        return 0.3 if len(name) < 5 else 0.0
+    if len(name) > 3:
+        return 0.0
+    if name[0] in SURNAMES:
+        return 0.25 if len(name) == 3 else 0.2
+    return 0.1 if name[0] in MAYBE_SURNAMES and len(name) == 3 else None if name[0] in NO_NAME else 0.0
+
+
+def _before(text: str, start: int) -> float:
+    """What stands right before a name gives to its score."""
+    if not start:
+        return _AT_EDGE
+    c = text[start - 1]
+    if _ROLE_BEFORE.search(text, max(0, start - 10), start):
+        return _AT_ROLE
+    if c in "嗣詎迨俟":
+        return _AT_NARRATIVE
+    return _AT_WEAK if c in _WEAK_BEFORE else _AT_EDGE if c in _EDGES else 0.0
+
+
+def _after(text: str, end: int, contacts: frozenset[int]) -> float:
+    if end in contacts or (text[end : end + 1] in ("（", "(") and end + 1 in contacts) or _CONTACT_LABEL.match(text, end):
+        return _BY_CONTACT
+    if _ACTS.match(text, end):
+        return _BY_ACT
+    c = text[end : end + 1]
+    return _BY_EDGE if not c or c in _EDGES else _BY_WEAK if c in _WEAK_AFTER else 0.0
+
+
+def _ends_of(text: str, start: int) -> list[int]:
+    """Where a name that starts here may end."""
+    c = text[start : start + 1]
+    if c.isascii() or "À" <= c <= "ɏ":
+        m = _LATIN_AT.match(text, start)
+        return [m.end()] if m else []
+    m = _DOTTED_AT.match(text, start)
+    dotted = []
+    if m:  # the last part may be followed by other words
+        last = max(text.rfind(d, start, m.end()) for d in _DOTS)
+        dotted = [e for e in range(last + 2, min(m.end(), last + 7) + 1)]
+    han = _HAN_AT.match(text, start)
+    return dotted + [start + n for n in range(2, (han.end() - start if han else 0) + 1)]
+
+
+def _starts_of(text: str, end: int) -> list[int]:
+    """Where a name that ends here may start."""
+    c = text[end - 1 : end]
+    if not c:
+        return []
+    if c.isascii() or "À" <= c <= "ɏ":
+        if not c.isalpha():
+            return []
+        i = end
+        while i and (text[i - 1].isalpha() and not "㐀" <= text[i - 1] or text[i - 1] in "-'’.．·・‧• "):
+            i -= 1
+        m = _LATIN_END.match(text, i, end)
+        return [m.start(1)] if m else []
+    i = end
+    while i > max(0, end - 4) and _HAN_END.match(text, i - 1):
+        i -= 1
+    out = list(range(i, end - 1))
+    j = end
+    while j > max(0, end - 24) and _DOTTED_END.match(text, j - 1):
+        j -= 1
+    dots = [k for k in range(j, end) if text[k] in _DOTS]
+    if dots:  # the first part may follow other words
+        out += [k for k in range(max(j, dots[0] - 6), dots[0])]
+    return out
 
 
-def _names(text: str) -> set[tuple[int, int]]:
-    found: set[tuple[int, int]] = set()
+def _names(text: str, contacts: list[tuple[int, int]]) -> set[tuple[int, int]]:
+    """Spans of private persons' names: proposals by what stands before or after, scored by both sides and the name itself."""
+    scores: dict[tuple[int, int], float] = {}
+    starts = frozenset(a for a, _ in contacts)
+
+    def propose(start: int, end: int, before: float | None = None, after: float | None = None) -> None:
+        own = _likely(text[start:end])
+        if own is None or _NO_PERSON_AFTER.match(text, end) or _OFFICER.search(text, max(0, start - 16), start):
+            return
+        before = _before(text, start) if before is None else before
+        after = _after(text, end, starts) if after is None else after
+        if before and after and (after > _BY_WEAK or not _COMPANY_ON.match(text, end)):
+            score = before + after + own
+            if score >= NAME_THRESHOLD - 1e-9:
+                scores[start, end] = max(score, scores.get((start, end), 0.0))
+
     for m in _LABEL.finditer(text):
-        if _is_name(m.group(1)):
-            found.add(m.span(1))
-    for word, before, follow in _AFTER:
-        at = text.find(word)
-        while at >= 0:
-            if not follow or _FOLLOW[follow].match(text, at + len(word)):
-                lead = text[max(0, at - 48) : at]
-                m = _BEFORE[before].search(lead)
-                if m and _is_name(m.group(1)):
-                    s = at - len(lead) + m.start(1)
-                    if not _OFFICER.search(text[max(0, s - 16) : s]):
-                        found.add((s, at))
-            at = text.find(word, at + 1)
+        if len(m[1]) > 4 and _likely(m[1][:2]) is not None and not _COMPANY.search(m[1]) and not any(c in NO_NAME for c in m[1]) and not any(d in m[1] for d in _DOTS) and m[1] not in ROLES and not m[1][0].isascii():
+            if len(m[1]) <= 12 and not _NO_PERSON_AFTER.match(text, m.end(1)):
+                scores[m.span(1)] = _AT_LABEL + _BY_EDGE
+        else:
+            propose(*m.span(1), _AT_LABEL, max(_BY_EDGE, _after(text, m.end(1), starts)))
+    for pattern, before in ((_ROLE, _AT_ROLE), (_NARRATIVE, _AT_NARRATIVE)):
+        for m in pattern.finditer(text):
+            for end in _ends_of(text, m.end()):
+                propose(m.end(), end, before)
+    for m in _ACTS.finditer(text):
+        if text[m.start() - 1 : m.start()] not in ("人", "告", "院", "官", "造", "方"):
+            for start in _starts_of(text, m.start()):
+                propose(start, m.start(), None, _BY_ACT)
+    for a, _ in contacts:
+        line = max(text.rfind("\n", 0, a) + 1, a - 16) if a else 0
+        if m := _TO_CONTACT.search(text, line, a):
+            for start in _starts_of(text, m.start()):
+                propose(start, m.start(), None, _BY_CONTACT)
+    found: set[tuple[int, int]] = set()
+    taken: list[tuple[int, int]] = []
+    for (a, b), _ in sorted(scores.items(), key=lambda x: (-x[1], -(x[0][1] - x[0][0]), x[0])):
+        if all(b <= c or d <= a for c, d in taken):
+            taken.append((a, b))
+            found.add((a, b))
     # elsewhere in the text, as a name that is known now
     for name in {text[a:b] for a, b in found}:
         at = text.find(name)
         while at >= 0:
             end = at + len(name)
             latin = name[0].isascii() and (text[at - 1 : at].isalpha() and text[at - 1 : at].isascii() or text[end : end + 1].isalpha() and text[end : end + 1].isascii())
-            if not latin and not _OFFICER.search(text[max(0, at - 16) : at]):
+            if not latin and not _OFFICER.search(text, max(0, at - 16), at):
                 found.add((at, end))
             at = text.find(name, at + 1)
     return found
 
 
-def find(text: str | None) -> list[tuple[str, int, int]]:
-    """(info_type, start, end) of the personal information in a text, by position; spans don't overlap. None in no text."""
-    if not text:
-        return []
+_CLAUSE_END = re.compile(r"[，。；、\r\n]")
+_LOCAL_SIGNS = frozenset("._%+＿．－-") | {chr(c + d) for c in [*range(48, 58), *range(65, 91), *range(97, 123)] for d in (0, 0xFEE0)} | {"_"}
+
+
+def _contacts(text: str) -> list[tuple[float, str, int, int]]:
+    """Scored proposals of mail addresses, phone and identity numbers, and street addresses."""
     spans: list[tuple[float, str, int, int]] = []
     for m in _AT.finditer(text):
-        low = max(0, m.start() - 80)
+        low = m.start()
+        while low and text[low - 1] in _LOCAL_SIGNS:
+            low -= 1
         local = _LOCAL.search(text[low : m.start()])
         host = _HOST.match(text, m.end())
         if local and host:
@@ -214,15 +344,30 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     for pattern, kind in ((_PHONE, "phone"), (_PHONE_CN, "phone"), (_IDNO, "idno"), (_ADDRESS_EN, "address")):
         for m in pattern.finditer(text):
             spans.append((_scored(text, kind, *m.span()), kind, *m.span()))
-    at = text.find("號")
-    seen = -1
-    while at >= 0:  # an address is looked for in the part of a clause that ends with a door number
-        low = max(seen, at - 48, *(text.rfind(c, max(0, at - 48), at) + 1 for c in "，。；、\n"))
-        m = _ADDRESS.search(text, low, min(len(text), at + 12))
-        if m and m.end() > at:
+    for m in _PHONE_FOREIGN.finditer(text):
+        if 8 <= sum(c.isdigit() for c in plain(m[0])) <= 15:
+            spans.append((_scored(text, "phone", *m.span()) + 0.2, "phone", *m.span()))
+    for m in _SSN.finditer(text):
+        if ssn_holds(m[0]):
+            spans.append((_scored(text, "idno", *m.span()), "idno", *m.span()))
+    for m in _PASSPORT.finditer(text):
+        spans.append((0.7, "idno", *m.span(1)))
+    at, seen = text.find("號"), 0
+    while at >= 0:  # an address is looked for in a clause that has a door number
+        low = max(seen, *(text.rfind(c, seen, at) + 1 for c in "，。；、\r\n"))
+        stop = _CLAUSE_END.search(text, at)
+        seen = stop.start() if stop else len(text)
+        for m in _ADDRESS.finditer(text, low, seen):
             spans.append((_scored(text, "address", *m.span()), "address", *m.span()))
-            seen = m.end()
-        at = text.find("號", at + 1)
+        at = text.find("號", seen)
+    return spans
+
+
+def find(text: str | None) -> list[tuple[str, int, int]]:
+    """(info_type, start, end) of the personal information in a text, by position; spans don't overlap. None in no text."""
+    if not text:
+        return []
+    spans = _contacts(text)
     for m in _LONG_NUMBER.finditer(text):
         if luhn_holds(m.group()) and 13 <= sum(c.isdigit() for c in plain(m.group())) <= 19:
             near = re.search(r"卡號|信用卡|card", text[max(0, m.start() - 12) : m.start()])
@@ -230,10 +375,10 @@ def find(text: str | None) -> list[tuple[str, int, int]]:
     for m in _IBAN.finditer(text):
         if mod97_holds(m.group()):
             spans.append((0.8, "account", *m.span()))
+    good = [(a, -b, kind, b) for score, kind, a, b in spans if score >= THRESHOLD]
+    good += [(a, -b, "name", b) for a, b in _names(text, sorted((a, b) for a, _, kind, b in good if kind not in ("card", "account")))]
     out: list[tuple[str, int, int]] = []
     taken = 0
-    good = [(a, -b, kind, b) for score, kind, a, b in spans if score >= THRESHOLD]
-    good += [(a, -b, "name", b) for a, b in _names(text)]
     for a, _, kind, b in sorted(good):
         if a >= taken:
             out.append((kind, a, b))

@@ -153,7 +153,19 @@ def test_pieces_and_their_citations(spark):
         ("甲乙股份有限公司受託，統一編號12345678，", []),
         ("相　對　人　甲乙企業社", []),
         ("最高法院100年度台上字第5號判決", []),
-        (None, []), ("", []), ("@", []), ("號" * 3000, []),
+        ("證人陳小華到庭陳述明確", [("name", "陳小華")]),
+        ("林志玲於偵查中供述在卷", [("name", "林志玲")]),
+        ("被告之母黃美玉代為清償", [("name", "黃美玉")]),
+        ("原告主張其向王大明借款", [("name", "王大明")]),
+        ("聯絡人李四（電話0912-345-678）", [("name", "李四"), ("phone", "0912-345-678")]),
+        ("證人夏曼．藍波安證稱", [("name", "夏曼．藍波安")]),
+        ("原告　阿布達悟拉浪，住甲乙市丙丁區戊己路1號3樓之2後棟8室", [("name", "阿布達悟拉浪"), ("address", "甲乙市丙丁區戊己路1號3樓之2")]),
+        ("電話：+1 (415) 555-2671，", [("phone", "+1 (415) 555-2671")]),
+        ("社會安全號碼123-45-6789，", [("idno", "123-45-6789")]),
+        ("護照號碼：A12345678。", [("idno", "A12345678")]),
+        ("原告王小明律師到庭", []), ("檢察官王小明到庭陳述", []), ("被告高雄銀行股份有限公司到庭", []),
+        ("信箱" + "a" * 200 + "@mail.example", [("email", "a" * 200 + "@mail.example")]),
+        (None, []), ("", []), ("@", []), ("號" * 3000, []), ("人" * 5000, []), ("．" * 5000, []),
     ],
 )
 def test_personal(text, want):
