@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -24,34 +25,48 @@ def merged_intervals(items: DataFrame, *owner: str) -> DataFrame:
     return runs.withColumns({"run_start": F.min("start").over(whole), "run_end": F.max("end").over(whole)})
 
 
-def _bound_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+_CHUNK = "decision_id long, citation_id long, start long, end long, chunk_index long, start_offset long, end_offset long, chunk_text string"
+
+
+def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(decision_id, clean_text, cites) to the chunk of every citation, a ruling at a time."""
     for batch in batches:
-        rows = []
-        for owner, text, cites in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            signs, footer, floor = K.item_signs(text), K.footer_start(text), K.reasons_floor(text)
-            for c in cites:
-                if c["match_start"] is not None and c["match_end"] is not None:
-                    rows.append((owner, c["id"], *K.bounds(text, c["match_start"], c["match_end"], signs, c["snippet"], footer, floor)))
-        columns = list(zip(*rows, strict=True)) or [()] * 4
-        yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["decision_id", "id", "start", "end"])
+        owners, texts, cites = (batch.column(i) for i in range(3))
+        sizes = np.diff(cites.offsets.to_numpy())
+        flat = cites.flatten()
+        fields = {flat.type.field(i).name: flat.field(i) for i in range(flat.type.num_fields)}
+        number = {k: fields[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in ("id", "match_start", "match_end", "length")}
+        heads = fields["head"].to_pylist()
+        edges = np.append(0, np.cumsum(sizes))
+        for i, (text, a, b) in enumerate(zip(texts.to_pylist(), edges[:-1], edges[1:], strict=True)):
+            cuts = K.Cuts(text)
+            start, end = cuts.bounds(*cuts.spans(number["match_start"][a:b], number["match_end"][a:b], heads[a:b], number["length"][a:b]))
+            run, first, last = K.runs(start, end)
+            parts = {(s, e): text[s:e] for s, e in zip(first.tolist(), last.tolist(), strict=True)}
+            columns = [np.repeat(owners[i].as_py(), b - a), number["id"][a:b], start, end, run, first, last]
+            yield pa.RecordBatch.from_arrays(
+                [*map(pa.array, columns), pa.array([parts[k] for k in zip(first.tolist(), last.tolist(), strict=True)], type=pa.string())],
+                names=["decision_id", "citation_id", "start", "end", "chunk_index", "start_offset", "end_offset", "chunk_text"],
+            )
+
+
+def _chunks(decisions: DataFrame, citations: DataFrame) -> DataFrame:
+    """Citations without offsets and rulings without text give no chunks. Of a snippet only the head and the length travel."""
+    cites = citations.where("match_start is not null and match_end is not null and source_id is not null").groupBy(F.col("source_id").alias("decision_id")).agg(
+        F.collect_list(F.struct("id", "match_start", "match_end", F.substring("snippet", 1, K.HEAD_SIGNS).alias("head"), F.coalesce(F.length("snippet"), F.lit(0)).alias("length"))).alias("cites")
+    )
+    texts = decisions.where("clean_text is not null").select(F.col("id").alias("decision_id"), "clean_text")
+    return texts.join(cites, "decision_id").select("decision_id", "clean_text", "cites").mapInArrow(_chunk_rows, _CHUNK)
 
 
 def chunk_bounds(decisions: DataFrame, citations: DataFrame) -> DataFrame:
     """(decision_id, id, start, end): a chunk's bounds around each citation (id) of a ruling with text."""
-    cites = citations.groupBy(F.col("source_id").alias("decision_id")).agg(F.collect_list(F.struct("id", "match_start", "match_end", "snippet")).alias("cites"))
-    texts = decisions.where("clean_text is not null").select(F.col("id").alias("decision_id"), "clean_text")
-    joined = texts.join(cites, "decision_id")
-    return joined.select("decision_id", "clean_text", "cites").mapInArrow(_bound_rows, "decision_id long, id long, start long, end long")
+    return _chunks(decisions, citations).select("decision_id", F.col("citation_id").alias("id"), "start", "end")
 
 
 def chunk_rows(decisions: DataFrame, citations: DataFrame) -> DataFrame:
     """One row per citation (decision_id, citation_id, chunk_index, start_offset, end_offset, chunk_text); overlapping chunks are one."""
-    runs = merged_intervals(chunk_bounds(decisions, citations), "decision_id")
-    texts = decisions.where("clean_text is not null").select(F.col("id").alias("decision_id"), "clean_text")
-    return runs.join(texts, "decision_id").select(
-        "decision_id", F.col("id").alias("citation_id"), F.col("run").alias("chunk_index"), F.col("run_start").alias("start_offset"), F.col("run_end").alias("end_offset"),
-        F.expr("substring(clean_text, cast(run_start + 1 as int), cast(run_end - run_start as int))").alias("chunk_text"),
-    )
+    return _chunks(decisions, citations).drop("start", "end")
 
 
 def chunk_quality(chunks: DataFrame, citations: DataFrame) -> DataFrame:

@@ -9,10 +9,54 @@ import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
-_written: list[str] = []
 _own_folder: list[str] = []
 
 
+class Tables:
+    """Tables that are written together and removed together. As a context, it takes in those that are cut inside."""
+
+    _open: list[Tables] = []
+
+    def __init__(self) -> None:
+        self.paths: list[str] = []
+
+    def __enter__(self) -> Tables:
+        Tables._open.append(self)
+        return self
+
+    def __exit__(self, *_: object) -> None:
+        Tables._open.remove(self)
+        self.release()
+
+    def cut(self, df: DataFrame) -> DataFrame:
+        """See cut()."""
+        spark = df.sparkSession
+        path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
+        df.write.parquet(path)
+        self.paths.append(path)
+        return spark.read.schema(df.schema).parquet(path)
+
+    def release(self) -> None:
+        """Removes the tables. Results that still read them can't be used afterwards."""
+        spark = SparkSession.getActiveSession()
+        for path in self.paths:
+            if path.startswith("file:"):
+                shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
+            elif spark is not None:
+                try:
+                    jvm = spark.sparkContext._jvm
+                    target = jvm.org.apache.hadoop.fs.Path(path)
+                    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+                except Exception:  # noqa: BLE001 - the session may be gone; the cluster's own clean-up remains
+                    pass
+        self.paths.clear()
+
+
+#: Tables that are cut outside of any context: they stay until the driver's Python ends.
+_rest = Tables()
+atexit.register(_rest.release)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The cluster's spark.checkpoint.dir. Only a local session without that setting gets a folder of its own."""
     named = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
@@ -30,28 +74,6 @@ def cut(df: DataFrame) -> DataFrame:
     """Writes df to the shared folder and returns the written table.
 
     Unlike a cached table it survives the loss of executors, and unlike an RDD checkpoint it stays columnar and
-    compressed. The tables are removed when the driver's Python ends.
+    compressed. The tables are removed with the innermost open Tables, else when the driver's Python ends.
     """
-    spark = df.sparkSession
-    path = f"{shared_folder(spark)}/cut-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    if not _written:
-        atexit.register(release)
-    _written.append(path)
-    return spark.read.schema(df.schema).parquet(path)
-
-
-def release() -> None:
-    """Removes the written tables of this driver. Results that still read them can't be used afterwards."""
-    spark = SparkSession.getActiveSession()
-    for path in _written:
-        if path.startswith("file:"):
-            shutil.rmtree(path.removeprefix("file://").removeprefix("file:"), ignore_errors=True)
-        elif spark is not None:
-            try:
-                jvm = spark.sparkContext._jvm
-                target = jvm.org.apache.hadoop.fs.Path(path)
-                target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-            except Exception:  # noqa: BLE001 - the session may be gone; the cluster's own clean-up remains
-                pass
-    _written.clear()
+    return (Tables._open[-1] if Tables._open else _rest).cut(df)

@@ -42,35 +42,40 @@ PARTY_CLAIM = (
 )
 BLOCKS_RESCUE = "云云|等情(?!況|形)|等語|等等"
 
+_OWN = ("own_court string", "own_jyear int", "own_jcase string", "own_jno int")
 _ROW = (
     "id long, citation_type string, court string, raw_match string, match_start int, match_end int, jyear int, jcase_norm string, jno int, auth_type string, auth_key string, display string, "
     "doc_type string, is_abbreviated boolean, needs_intent boolean, reason_pos int, footer_pos int, post_sentence string, clause string, section_before string, just_before string, post_long string, snippet string"
 )
-_NAMES = [c.split()[0] for c in _ROW.split(", ")]
+_TYPES = {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}
 
 
-def _proposal_rows(batches: Iterator[pa.RecordBatch], targets: frozenset[str]) -> Iterator[pa.RecordBatch]:
-    schema = pa.schema([(n, {"long": pa.int64(), "int": pa.int32(), "string": pa.string(), "boolean": pa.bool_()}[t]) for n, t in (c.split() for c in _ROW.split(", "))])
+def _proposal_rows(batches: Iterator[pa.RecordBatch], targets: frozenset[str], carried: int) -> Iterator[pa.RecordBatch]:
+    """(id, text, court, and carried columns) to proposals, a ruling's carried columns with each of them."""
+    schema = pa.schema([(n, _TYPES[t]) for n, t in (c.split() for c in _ROW.split(", "))])
     for batch in batches:
-        rows = []
-        for key, text, court in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
+        rows, of = [], []
+        for i, (key, text, court) in enumerate(zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True)):
             found = C.proposals(text, court, targets)
             frame = C.text_frame(text) if found else None
             rows += [(key, *astuple(p), *frame, *C.surroundings(text, p).values()) for p in found]
+            of += [i] * len(found)
             if len(rows) >= 2000:
-                yield _batch(rows, schema)
-                rows = []
+                yield _batch(rows, schema, batch, of, carried)
+                rows, of = [], []
         if rows:
-            yield _batch(rows, schema)
+            yield _batch(rows, schema, batch, of, carried)
 
 
-def _batch(rows: list[tuple], schema: pa.Schema) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([pa.array(c, type=t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+def _batch(rows: list[tuple], schema: pa.Schema, batch: pa.RecordBatch, of: list[int], carried: int) -> pa.RecordBatch:
+    made = [pa.array(c, type=t.type) for c, t in zip(zip(*rows, strict=True), schema, strict=True)]
+    more = [batch.column(3 + k).take(pa.array(of)) for k in range(carried)]
+    return pa.RecordBatch.from_arrays([*made, *more], names=[*schema.names, *batch.schema.names[3 : 3 + carried]])
 
 
 def proposals(texts: DataFrame, targets: frozenset[str] = C.TARGET_COURTS) -> DataFrame:
     """From (id, text, court) every proposal with its surroundings. Null and empty texts give none."""
-    return texts.select("id", "text", "court").mapInArrow(lambda b: _proposal_rows(b, targets), _ROW)
+    return texts.select("id", "text", "court").mapInArrow(lambda b: _proposal_rows(b, targets, 0), _ROW)
 
 
 def reject_reason() -> Column:
@@ -98,9 +103,10 @@ def reject_reason() -> Column:
 
 
 def judged(texts: DataFrame, targets: frozenset[str] = C.TARGET_COURTS) -> DataFrame:
-    """Proposals of (id, text, court, own_court, own_jyear, own_jcase, own_jno) with reject_reason and target_case_type."""
-    own = texts.select("id", "own_court", "own_jyear", "own_jcase", "own_jno")
-    return proposals(texts, targets).join(own, "id").withColumns({"reject_reason": reject_reason(), "target_case_type": target_case_type(F.col("raw_match"))})
+    """Proposals of (id, text, court, own_court, own_jyear, own_jcase, own_jno) with reject_reason and target_case_type, in one pass over the texts."""
+    own = [F.col(n).cast(t).alias(n) for n, t in (c.split() for c in _OWN)]
+    found = texts.select("id", "text", "court", *own).mapInArrow(lambda b: _proposal_rows(b, targets, len(_OWN)), ", ".join([_ROW, *_OWN]))
+    return found.withColumns({"reject_reason": reject_reason(), "target_case_type": target_case_type(F.col("raw_match"))})
 
 
 def citations(texts: DataFrame, targets: frozenset[str] = C.TARGET_COURTS) -> DataFrame:
@@ -123,6 +129,41 @@ def statutes(texts: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
     return texts.select("id", "text").mapInArrow(lambda b: _statute_rows(b, names), "id long, law string, article_raw string, sub_ref string, raw_match string")
 
 
+def law_names(texts: DataFrame, least: int = 3) -> DataFrame:
+    """(law, n_texts): names of laws that (id, text) mention before articles in at least so many texts, besides the known ones.
+
+    The table that statutes() takes as names. It is as long as a country has laws, not as long as the texts.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            found = [(k, n) for k, t in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True) for n in dict.fromkeys(S.likely_names(t))]
+            ids, names = list(zip(*found, strict=True)) or ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(ids, type=pa.int64()), pa.array(names, type=pa.string())], names=["id", "law"])
+
+    each = texts.select("id", "text").mapInArrow(rows, "id long, law string").distinct()
+    return each.groupBy("law").agg(F.count(F.lit(1)).alias("n_texts")).where(F.col("n_texts") >= least)
+
+
+def names_of(table: DataFrame, most: int = 20_000) -> tuple[str, ...]:
+    """The names (law) of a table, for statutes(); a table of more than so many is no list of laws and an error."""
+    names = sorted(r[0] for r in table.select("law").where("law is not null").distinct().limit(most + 1).collect())
+    if len(names) > most:
+        raise ValueError(f"more than {most} names of laws")
+    return tuple(names)
+
+
+def ruling_statutes(decisions: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
+    """(decision_id, law, article_raw, sub_ref, raw_match): the statutes of the rulings' own texts, each once per ruling."""
+    texts = decisions.where("id is not null and clean_text is not null").select("id", F.col("clean_text").alias("text")).dropDuplicates(["id"])
+    return statutes(texts, names).withColumnRenamed("id", "decision_id")
+
+
+def missing_statutes(texts: DataFrame, done: DataFrame, names: tuple[str, ...] = ()) -> DataFrame:
+    """Statutes of those (id, text) whose id isn't among the done (id): the back-fill after a batch."""
+    return statutes(texts.join(done.select("id").distinct(), "id", "left_anti"), names)
+
+
 def text_function(function: Callable[[str | None], object], kind: str) -> Callable[[Column], Column]:
     """A parser of single texts as an Arrow column function."""
 

@@ -128,9 +128,28 @@ def upserted(decisions: DataFrame, incoming: DataFrame) -> DataFrame:
     return filled.select(F.coalesce("known_id", F.when(takes, F.col("place_id")), F.xxhash64("jid")).alias("id"), "jid", state.alias("state"))
 
 
+def edge_key() -> Column:
+    """What makes an edge the same: its source, its target and where it begins."""
+    parts = [F.col(c).cast("string") for c in ("source_id", "target_id", "target_authority_id", "match_start")]
+    return F.concat_ws("|", *[F.coalesce(p, F.lit("")) for p in parts])
+
+
 def replaced_by_source(old: DataFrame, new: DataFrame, sources: DataFrame) -> DataFrame:
-    """Citations after a batch: those of the batch's sources are all replaced, the others stay."""
-    return old.join(sources.select("source_id").distinct(), "source_id", "left_anti").unionByName(new.select(*old.columns))
+    """Citations after a batch: those of the batch's sources are the new ones, the others stay.
+
+    An edge that was there keeps its id and time, as chunks and statutes point at it; new edges get a hash of their key as id.
+    Copies of an edge are one, the last by match_end.
+    """
+    of_batch = sources.select("source_id").distinct()
+    since = F.col("created_at") if "created_at" in old.columns else F.lit(None).cast("timestamp_ntz")
+    known = old.join(of_batch, "source_id", "left_semi").groupBy(edge_key().alias("key")).agg(F.min(F.struct("id", since.alias("since"))).alias("was"))
+    rest = [c for c in new.columns if c not in ("id", "match_end")]
+    made = new.groupBy(edge_key().alias("key")).agg(F.max(F.struct(*[c for c in ("match_end",) if c in new.columns], *rest)).alias("e")).join(known, "key", "left")
+    columns = {c: F.col(f"e.{c}") for c in new.columns if c != "id"} | {"id": F.coalesce("was.id", F.xxhash64("key"))}
+    if "created_at" in old.columns:
+        columns["created_at"] = F.coalesce("was.since", columns.get("created_at", F.lit(None)))
+    shown = [columns.get(c, F.lit(None).cast(old.schema[c].dataType)).alias(c) for c in old.columns]
+    return old.join(of_batch, "source_id", "left_anti").select(*old.columns).unionByName(made.select(*shown))
 
 
 def upserted_authorities(old: DataFrame, incoming: DataFrame) -> DataFrame:

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 from casemesh.functions import text as T
 from casemesh.functions.plain import stripped
 from casemesh.operators import extract, graph
+from casemesh.operators.durable import cut
 
 RAW = "JID string, JYEAR string, JCASE string, JNO string, JDATE string, JTITLE string, JFULL string, JPDF string, _corrupt string"
 
@@ -60,23 +61,64 @@ def located(prepared_rows: DataFrame, courts: DataFrame) -> DataFrame:
     return named.join(u, "unit_norm").withColumn("root_norm", T.court_root(F.col("unit_norm")))
 
 
-def batch(spark: SparkSession, folder: str, courts: DataFrame, decisions: DataFrame) -> dict[str, DataFrame]:
-    """A whole batch: errors, the rulings with their ids and states, their citations and statutes."""
-    good, errors = split_errors(scan(spark, folder))
-    rows = located(prepared(good), courts)
-    states = graph.upserted(decisions, rows)
-    rulings = rows.dropDuplicates(["jid"]).join(states, "jid")
+def texts_of(rulings: DataFrame) -> DataFrame:
+    """What extraction reads of rulings: text, court and own docket."""
     court = T.citation_court(F.col("unit_norm"))
-    texts = rulings.select(
-        "id", F.col("clean_text").alias("text"), court.alias("court"), court.alias("own_court"), F.col("jyear").alias("own_jyear"), F.col("jcase_norm").alias("own_jcase"), F.col("jno").alias("own_jno")
+    return rulings.select(
+        "id", F.col("clean_text").alias("text"), court.alias("court"), court.alias("own_court"), F.col("jyear").cast("int").alias("own_jyear"), T.case_word(F.col("jcase_norm")).alias("own_jcase"), F.col("jno").cast("int").alias("own_jno")
     )
-    cited = extract.citations(texts)
-    return {"errors": errors, "rulings": rulings, "citations": cited, "statutes": extract.statutes(texts)}
+
+
+def processed(raw: DataFrame, courts: DataFrame, decisions: DataFrame, names: tuple[str, ...] = ()) -> dict[str, DataFrame]:
+    """Scanned files to errors, the rulings with their ids and states, their citations, their statutes and those of their snippets.
+
+    Rulings are cleaned once: their rows are written before they are read for the other results. A citation that lacks an
+    offset is an error of the kind 'citation'.
+    """
+    good, errors = split_errors(raw)
+    rows = cut(located(prepared(good), courts).dropDuplicates(["jid"]))
+    rulings = rows.join(graph.upserted(decisions, rows), "jid")
+    texts = texts_of(rulings)
+    cited = cut(extract.citations(texts).withColumnRenamed("id", "source_id"))
+    key = F.xxhash64("source_id", "citation_type", "court", "jyear", "jcase_norm", "jno", "auth_key", "match_start")
+    cited = cited.withColumn("id", key)
+    bad = cited.where("match_start is null or match_end is null").join(rulings.select(F.col("id").alias("source_id"), "folder_name", "file_name"), "source_id")
+    errors = errors.unionByName(bad.select("folder_name", "file_name", F.lit("citation").alias("kind"), F.coalesce("raw_match", F.lit("no text")).alias("message")))
+    cited = cited.where("match_start is not null and match_end is not null")
+    snippets = extract.statutes(cited.select("id", F.col("snippet").alias("text")), names).withColumnRenamed("id", "citation_id")
+    return {"errors": errors, "rulings": rulings, "citations": cited, "statutes": extract.statutes(texts, names).withColumnRenamed("id", "decision_id"), "snippet_statutes": snippets}
+
+
+def batch(spark: SparkSession, folder: str, courts: DataFrame, decisions: DataFrame, names: tuple[str, ...] = (), word: str | None = None) -> dict[str, DataFrame]:
+    """A whole batch of a folder; word: only subfolders that have it in their name."""
+    return processed(scan(spark, folder, word=word), courts, decisions, names)
+
+
+def months(spark: SparkSession, folders: list[str], courts: DataFrame, decisions: DataFrame, out: str, names: tuple[str, ...] = (), word: str | None = None) -> DataFrame:
+    """Ingests month folders one after another, each with the rulings of those before as known, then fills in statutes.
+
+    Results are written under out by folder; a folder that is run again replaces its own. Returns the ledger.
+    """
+    known = decisions
+    columns = ["id", "jid", "unit_norm", "jyear", "jcase_norm", "jno", "case_type", "doc_type"]
+    entries = []
+    for folder in folders:
+        label = folder.rstrip("/").rsplit("/", 1)[-1]
+        made = batch(spark, folder, courts, known.select(*columns), names, word)
+        for name, df in made.items():
+            df.write.mode("overwrite").parquet(f"{out}/{name}/folder={label}")
+        done = lambda name: spark.read.parquet(f"{out}/{name}/folder={label}")  # noqa: B023, E731
+        known = known.select(*columns).unionByName(done("rulings").select(*columns))
+        entries.append((label, done("rulings").count(), done("errors").count()))
+    texts = spark.read.parquet(f"{out}/rulings").select("id", F.col("clean_text").alias("text"))
+    have = spark.read.parquet(f"{out}/statutes").select(F.col("decision_id").alias("id"))
+    extract.missing_statutes(texts, have, names).withColumnRenamed("id", "decision_id").write.mode("overwrite").parquet(f"{out}/statutes/folder=backfill")
+    return spark.createDataFrame(entries, "folder_name string, n_files long, n_errors long").withColumn("ingested_at", F.current_timestamp())
 
 
 def write_windows(windows: DataFrame, path: str) -> None:
-    """The pair table, sorted by source inside its files."""
-    windows.sortWithinPartitions("source_id").write.mode("overwrite").parquet(path)
+    """The pair table in ranges of sources, sorted inside its files, so that a search reads the row groups of its sources."""
+    windows.repartitionByRange("source_id").sortWithinPartitions("source_id").write.mode("overwrite").parquet(path)
 
 
 def write_lines(rows: DataFrame, path: str) -> None:

@@ -101,14 +101,22 @@ def page(rows: DataFrame, order: str = "relevance", number: int = 1, size: int =
     return rows.orderBy(*order_by(order)).offset((number - 1) * size).limit(size)
 
 
+#: Weights of BM25: how soon more occurrences count less, and how much a long window counts less.
+K1, B = 1.2, 0.75
+
+
 def source_scores(windows: DataFrame, sources: DataFrame, spec: SearchSpec) -> DataFrame:
-    """(target_uid, source_id, score): how often a pair's window names the keywords, weighted by their rarity among the pairs."""
+    """(target_uid, source_id, score): BM25 of a pair's window for the keywords, over the recalled sources' pairs."""
     used = cut(windows.join(sources.select("source_id"), "source_id", "left_semi").select("source_id", "target_uid", "window_text"))
-    counts = used.agg(F.count(F.lit(1)).alias("n"), *[F.sum(F.col("window_text").contains(k).cast("int")).alias(f"k{i}") for i, k in enumerate(spec.keywords)]).first()
+    has = [F.sum(F.col("window_text").contains(k).cast("int")).alias(f"k{i}") for i, k in enumerate(spec.keywords)]
+    counts = used.agg(F.count(F.lit(1)).alias("n"), F.avg(F.length("window_text")).alias("size"), *has).first()
+    size = max(float(counts["size"] or 0), 1.0)
     score = F.lit(0.0)
     for i, k in enumerate(spec.keywords):
         times = (F.length("window_text") - F.length(F.replace(F.col("window_text"), F.lit(k), F.lit("")))) / len(k)
-        score = score + times / (times + 1.2) * F.ln(F.lit(1.0) + (F.lit(float(counts["n"])) - float(counts[f"k{i}"] or 0) + 0.5) / (float(counts[f"k{i}"] or 0) + 0.5))
+        there = float(counts[f"k{i}"] or 0)
+        rare = F.ln(F.lit(1.0) + (F.lit(float(counts["n"])) - there + 0.5) / (there + 0.5))
+        score = score + times * (K1 + 1) / (times + K1 * (1 - B + B * F.length("window_text") / F.lit(size))) * rare
     return used.select("target_uid", "source_id", score.alias("score"))
 
 

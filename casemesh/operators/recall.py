@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from casemesh.functions.plain import stripped
+from casemesh.parse.statutes import law_name
 
 #: Case types that a search may name.
 CASE_TYPES = ("民事", "刑事", "行政", "憲法")
@@ -30,7 +31,15 @@ class SearchSpec:
     exclude_keywords: tuple[str, ...] = ()
     exclude_statutes: tuple[StatuteFilter, ...] = ()
     case_types: tuple[str, ...] = ()
-    extra: dict = field(default_factory=dict, compare=False)
+
+
+def spec_of(request: dict) -> SearchSpec:
+    """A spec from a request: lists of terms, of (law, article, sub_ref) and a comma-separated list of case types. Unknown fields are an error."""
+    if unknown := set(request) - {f.name for f in fields(SearchSpec)}:
+        raise ValueError(f"unknown fields: {', '.join(sorted(unknown))}")
+    filters = lambda name: tuple(StatuteFilter(*(f.values() if isinstance(f, dict) else f)) for f in request.get(name) or ())
+    types = request.get("case_types") or ""
+    return checked(SearchSpec(tuple(request.get("keywords") or ()), filters("statutes"), tuple(request.get("exclude_keywords") or ()), filters("exclude_statutes"), normal_case_types(types if isinstance(types, str) else ",".join(types))))
 
 
 def normal_terms(terms) -> tuple[str, ...]:
@@ -46,12 +55,17 @@ def normal_case_types(value: str | None) -> tuple[str, ...]:
     return types
 
 
+def normal_filters(filters) -> tuple[StatuteFilter, ...]:
+    """With laws by their full names, each once, in order."""
+    return tuple(dict.fromkeys(StatuteFilter(law_name(f.law), f.article, f.sub_ref) for f in filters or ()))
+
+
 def checked(spec: SearchSpec) -> SearchSpec:
-    """A spec with its terms in order; without any keyword it is an error."""
+    """A spec with its terms and filters in order; without any keyword it is an error."""
     keywords = normal_terms(spec.keywords)
     if not keywords:
         raise ValueError("a search needs at least one keyword")
-    return SearchSpec(keywords, tuple(dict.fromkeys(spec.statutes)), normal_terms(spec.exclude_keywords), tuple(dict.fromkeys(spec.exclude_statutes)), normal_case_types(",".join(spec.case_types)))
+    return SearchSpec(keywords, normal_filters(spec.statutes), normal_terms(spec.exclude_keywords), normal_filters(spec.exclude_statutes), normal_case_types(",".join(spec.case_types)))
 
 
 def statute_match(statutes: Column, f: StatuteFilter, exact: bool = False) -> Column:
@@ -78,25 +92,41 @@ def statute_condition(f: StatuteFilter, exact: bool = True) -> Column:
     return cond
 
 
-def keyword_hits(decisions: DataFrame, spec: SearchSpec) -> DataFrame:
-    """(source_id, case_type) of the rulings with all keywords and none of the excluded ones. Case matters.
+def keyword_hits(decisions: DataFrame, spec: SearchSpec, any_case: bool = False) -> DataFrame:
+    """(source_id, case_type) of the rulings with all keywords and none of the excluded ones. Case matters, unless any_case.
 
     The conditions are plain substring tests, which reach the scan; only ids leave it.
     """
-    has = reduce(lambda a, b: a & b, [F.col("clean_text").contains(k) for k in spec.keywords])
+    text = F.lower("clean_text") if any_case else F.col("clean_text")
+    low = (lambda k: k.lower()) if any_case else (lambda k: k)
+    has = reduce(lambda a, b: a & b, [text.contains(low(k)) for k in spec.keywords])
     for k in spec.exclude_keywords:
-        has &= ~F.col("clean_text").contains(k)
+        has &= ~text.contains(low(k))
     if spec.case_types:
         has &= F.col("case_type").isin(*spec.case_types)
     return decisions.where(has & F.col("id").isNotNull()).select(F.col("id").alias("source_id"), "case_type").distinct()
 
 
-def recalled(decisions: DataFrame, citations: DataFrame, statutes: DataFrame, spec: SearchSpec, exact: bool = False) -> DataFrame:
-    """(source_id) of the sources that meet the spec. Statutes are those of what a source cites."""
-    hits = keyword_hits(decisions, spec).select("source_id")
-    edges = citations.select(F.col("id").alias("citation_id"), "source_id")
+def with_statutes(hits: DataFrame, mentions: DataFrame, spec: SearchSpec, exact: bool = False) -> DataFrame:
+    """The sources (source_id) that mention all wanted statutes and none of the excluded; mentions: (source_id, law, article_raw, sub_ref)."""
     for filters, how in ((spec.statutes, "left_semi"), (spec.exclude_statutes, "left_anti")):
         for f in filters:
-            cites = statutes.where(statute_condition(f, exact)).select("citation_id").distinct()
-            hits = hits.join(edges.join(cites, "citation_id", "left_semi").select("source_id").distinct(), "source_id", how)
+            hits = hits.join(mentions.where(statute_condition(f, exact)).select("source_id").distinct(), "source_id", how)
     return hits
+
+
+def cited_mentions(citations: DataFrame, statutes: DataFrame) -> DataFrame:
+    """What sources mention in the passages that they cite."""
+    edges = citations.select(F.col("id").alias("citation_id"), "source_id")
+    return edges.join(statutes.select("citation_id", "law", "article_raw", "sub_ref"), "citation_id").select("source_id", "law", "article_raw", "sub_ref")
+
+
+def recalled(decisions: DataFrame, citations: DataFrame, statutes: DataFrame, spec: SearchSpec, exact: bool = False, own: DataFrame | None = None, any_case: bool = False) -> DataFrame:
+    """(source_id) of the sources that meet the spec.
+
+    own: (decision_id, law, article_raw, sub_ref), the statutes of the rulings' own texts, if they were extracted; without
+    them, statutes are those of what a source cites.
+    """
+    hits = keyword_hits(decisions, spec, any_case).select("source_id")
+    mentions = own.withColumnRenamed("decision_id", "source_id") if own is not None else cited_mentions(citations, statutes)
+    return with_statutes(hits, mentions, spec, exact)

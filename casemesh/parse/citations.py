@@ -21,7 +21,8 @@ _COURT = (
 FULL = re.compile(r"(?<!原審)" + _COURT + r"(?:(?:刑事|民事|行政)?大法庭)?(?:（[^）\r\n]{0,10}）\s*)?" + _DOCKET + _KIND)
 _JOIN = r"[、，及與暨或,]"
 SHORT = re.compile(_JOIN + _DOCKET + _KIND)
-NUMBER = re.compile(_JOIN + r"\s*第\s*(\d+)\s*號")
+_NUMBER_JOIN = r"[、及與暨或,]"
+NUMBER = re.compile(_NUMBER_JOIN + r"\s*第\s*(\d+)\s*號")
 
 RESOLUTION = re.compile(
     r"(最高法院)(\d{2,3})年度?第(\d+)次(民庭|刑庭|民事庭|刑事庭|民刑庭|民刑事庭|民刑事庭總會|刑事庭總會|民事庭總會)(?:庭長)?(?:會議)?決議"
@@ -291,28 +292,26 @@ def text_frame(text: str) -> tuple[int, int]:
     return (reasons.start() if reasons else 0), (footer if footer >= 0 else len(text))
 
 
+def _marks(text: str, low: int, high: int) -> dict[str, int]:
+    """By kind, the last place in a stretch at which a passage may begin."""
+    found = {
+        "opener": [m.start(1) for m in OPENER.finditer(text, low, high)],
+        "reference": [AFTER_REFERENCE.match(text, at).end() for at in (text.rfind(c, low, high) for c in ("參照）", "參照)")) if at >= 0],
+        "paragraph": [m.start() + 2 for m in PARAGRAPH.finditer(text, low, high)],
+        "sentence": [at + 1] if (at := text.rfind("。", low, high)) >= 0 else [],
+        "line": [at + 2] if (at := text.rfind("\r\n", low, high)) >= 0 else [],
+    }
+    return {kind: max(places) for kind, places in found.items() if places}
+
+
 def snippet_start(text: str, start: int) -> int:
-    """Where the passage that a citation supports begins: at its opening word or after the reference before, else its paragraph or sentence."""
+    """Where the passage that a citation supports begins: at its opening word, after the reference before or at the line
+    that begins later than these; without any, at its paragraph, sentence or line."""
     low = max(0, start - SNIPPET)
-    anchors = [m.start(1) for m in OPENER.finditer(text, low, start)][-1:]
-    for close in ("參照）", "參照)"):
-        at = text.rfind(close, low, start)
-        if at >= 0:
-            anchors.append(AFTER_REFERENCE.match(text, at).end())
-    if anchors:
-        anchor = max(anchors)
-        breaks = [m.start() + 2 for m in PARAGRAPH.finditer(text, anchor, start)][-1:]
-        line = text.rfind("\r\n", anchor, start)
-        breaks += [line + 2] if line >= 0 else []
-        return max(breaks, default=anchor)
-    paragraphs = [m.start() + 2 for m in PARAGRAPH.finditer(text, low, start)]
-    if paragraphs:
-        return paragraphs[-1]
-    for sign in ("。", "\r\n"):
-        at = text.rfind(sign, low, start)
-        if at >= 0:
-            return at + len(sign)
-    return low
+    last = _marks(text, low, start)
+    if "opener" in last or "reference" in last:
+        return max(last.get(kind, low) for kind in ("opener", "reference", "line"))
+    return next((last[kind] for kind in ("paragraph", "sentence", "line") if kind in last), low)
 
 
 def snippet_end(text: str, start: int, end: int) -> int:

@@ -1,7 +1,8 @@
 """Statutes in a text: law, article and the parts of an article.
 
 An article is looked for first and the law's name read backwards from it, so that the number of known laws doesn't matter.
-Names of laws are a parameter; the defaults are the common ones and their short forms.
+Names of laws are a parameter; the defaults are the common ones and their short forms. A longer list is made from texts by rule:
+an unbroken run of Han signs that ends like a law's name, without the words that lead up to it.
 """
 
 from __future__ import annotations
@@ -71,6 +72,13 @@ COMMON = (
     "性侵害犯罪防治法 國家賠償法 公務人員保障法 法院組織法 律師法 仲裁法 信託法 民法總則施行法 民法債編施行法 民法物權編施行法 刑法施行法 中華民國刑法 陸海空軍刑法 國家安全法 入出國及移民法 就業服務法"
 ).split()
 
+# Endings of laws' names; words that end alike but name none; words that lead up to a name.
+ENDINGS = ("法", "條例", "通則", "規則", "細則", "辦法", "規程", "準則", "標準", "綱要")
+NO_LAWS = ("方法", "無法", "合法", "違法", "不法", "依法", "非法", "說法", "看法", "作法", "做法", "手法", "想法", "用法", "寫法", "司法", "立法", "修法", "守法", "執法", "本辦法", "本條例", "本規則", "本細則", "本準則", "本標準", "本通則", "本規程", "該辦法", "該條例", "該規則")
+_LEAD = re.compile(r"依據|依照|依循|依|按照|按|適用|準用|違反|觸犯|援引|援用|引用|參照|參酌|揆諸|觀諸|參諸|根據|基於|修正前|修正後|行為時|裁判時|現行|所犯|係犯|犯|構成|符合|牴觸|爰|即|係指|係|所稱|所定|所謂|上開|前揭|前開|系爭|又|復|再|次|且|均|應|亦|惟|故|而|並|認|已|與|及|或|暨|和|為|以|由|用")
+_JOINS = frozenset("與及或暨和為以由用又復再次且均應亦惟故而並認已即係犯爰")
+LONGEST, SHORTEST = 30, 3
+
 ARTICLE = re.compile(r"第\s*(\d+)\s*條(?:之\s*(\d+))?")
 _NOTE = re.compile(r"（[^（）]*）\s*$")
 INLINE = re.compile(r"\s*（(?:下稱|簡稱)\s*「?([^」）]{1,20})」?）")
@@ -111,6 +119,35 @@ class Laws:
         return next((end - n for n in self.sizes if end - n >= low and text[end - n : end] in names), None)
 
 
+def likely_names(text: str | None) -> list[str]:
+    """What reads like a law's name right before an article, known names aside; in order, as often as it stands there."""
+    out, known, low = [], laws(), 0
+    for m in ARTICLE.finditer(text or ""):
+        end = len(text[low : m.start()].rstrip()) + low
+        if known.before(text, end, low) is None and (start := by_rule(text, end, low)) is not None:
+            out.append(plain_law(text[start:end]))
+        low = m.end()
+    return out
+
+
+def by_rule(text: str, end: int, low: int = 0) -> int | None:
+    """Where a run of Han signs that ends like a law's name begins, after the last word that leads up to it.
+
+    Words that also stand within names (and, with, for ...) lead up to one only after another law or another such word.
+    """
+    if not text.endswith(ENDINGS, low, end) or text.endswith(NO_LAWS, max(low, end - 4), end):
+        return None
+    start = end
+    while start > max(low, end - LONGEST) and "\u4e00" <= text[start - 1] <= "\u9fff":
+        start -= 1
+    led = False
+    for m in _LEAD.finditer(text, start, end - SHORTEST):
+        strong = m[0] not in _JOINS
+        if strong or (m.start() == start and not led) or text.endswith(ENDINGS, start, m.start()):
+            start, led = m.end(), led or strong
+    return start if SHORTEST <= end - start < LONGEST else None
+
+
 @lru_cache(maxsize=4)
 def laws(names: tuple[str, ...] = ()) -> Laws:
     return Laws([*COMMON, *ALIASES.values(), *names])

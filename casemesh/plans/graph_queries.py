@@ -238,14 +238,18 @@ def upsert_decisions(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q(
     "citations_replace",
-    PRE + "SELECT id, source_id, target_id, match_start FROM c WHERE source_id % 5 <> 0 OR source_id IS NULL UNION ALL SELECT id + 1000000000, source_id, target_id, match_start FROM c WHERE source_id % 5 = 0 AND match_start % 2 = 0",
+    PRE + """SELECT id, source_id, target_id, match_start FROM c WHERE source_id % 5 <> 0 OR source_id IS NULL
+UNION ALL SELECT min(id), source_id, target_id, match_start FROM c WHERE source_id % 5 = 0 AND match_start % 2 = 0 GROUP BY source_id, target_id, target_authority_id, match_start
+UNION ALL SELECT DISTINCT NULL, source_id, target_id, m FROM (SELECT source_id, target_id, target_authority_id, match_start + 1000000 AS m FROM c WHERE source_id % 5 = 0 AND match_start % 4 = 0 GROUP BY ALL)""",
 )
 def citations_replace(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A batch that brings every fifth source again, with half of its citations."""
-    c = thin(spark, sf_dir, "citations", "source_id", "target_id", "match_start")
+    """A batch that brings every fifth source again, with half of its edges as they were and some new ones, whose ids aren't shown."""
+    c = thin(spark, sf_dir, "citations", "source_id", "target_id", "target_authority_id", "match_start", "match_end", "created_at")
     batch = c.where("source_id % 5 = 0")
-    new = batch.where("match_start % 2 = 0").withColumn("id", F.col("id") + 1000000000)
-    return G.replaced_by_source(c, new, batch.select("source_id")).select("id", "source_id", "target_id", "match_start")
+    same, fresh = batch.where("match_start % 2 = 0"), batch.where("match_start % 4 = 0").withColumn("match_start", F.col("match_start") + 1000000)
+    out = G.replaced_by_source(c, same.unionByName(fresh).withColumn("id", F.lit(-1).cast("long")), batch.select("source_id"))
+    made = (F.col("source_id") % 5 == 0) & (F.col("match_start") >= 1000000)
+    return out.select(F.when(~F.coalesce(made, F.lit(False)), F.col("id")).alias("id"), "source_id", "target_id", "match_start").distinct()
 
 
 @q(

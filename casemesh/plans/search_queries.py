@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from casemesh.functions.plain import stripped
+from casemesh.operators import extract as E
 from casemesh.operators import preview as V
 from casemesh.operators import ranking as R
 from casemesh.operators import recall as P
@@ -92,9 +93,9 @@ def _graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame, Data
     return c, d, tables(spark, sf_dir, "citation_snippet_statutes")[0]
 
 
-def _sources(spark: SparkSession, sf_dir: str, spec: SearchSpec, exact: bool = False) -> DataFrame:
+def _sources(spark: SparkSession, sf_dir: str, spec: SearchSpec, exact: bool = False, any_case: bool = False) -> DataFrame:
     c = load(spark, sf_dir, "citations").select("id", "source_id").distinct()
-    return P.recalled(load(spark, sf_dir, "decisions"), c, tables(spark, sf_dir, "citation_snippet_statutes")[0], spec, exact)
+    return P.recalled(load(spark, sf_dir, "decisions"), c, tables(spark, sf_dir, "citation_snippet_statutes")[0], spec, exact, any_case=any_case)
 
 
 # --- recall ----------------------------------------------------------------------------------------------------------
@@ -111,11 +112,32 @@ for _name, _spec in (
     q(_name, PRE + _recall(_spec) + "SELECT source_id FROM r")(lambda spark, sf_dir, spec=_spec: _sources(spark, sf_dir, spec))
 
 _BASE = SearchSpec(("過失比例",), (StatuteFilter("公司法", None, "第1項"),), ("股份憑證",))
+_BASE_SQL = _recall(_BASE, exact=True).replace("contains(clean_text, '過失比例')", "clean_text ILIKE '%過失比例%'").replace("NOT contains(clean_text, '股份憑證')", "clean_text NOT ILIKE '%股份憑證%'")
 
 
-@q("recall_baseline", PRE + _recall(_BASE, exact=True) + "SELECT source_id FROM r WHERE source_id IN (SELECT source_id FROM c)")
+@q("recall_baseline", PRE + _BASE_SQL + "SELECT source_id FROM r WHERE source_id IN (SELECT source_id FROM c)")
 def recall_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _sources(spark, sf_dir, _BASE, True).join(load(spark, sf_dir, "citations").select("source_id").distinct(), "source_id", "left_semi")
+    """The baseline: keywords whatever their case, exact parts, and only rulings that cite something."""
+    return _sources(spark, sf_dir, _BASE, True, True).join(load(spark, sf_dir, "citations").select("source_id").distinct(), "source_id", "left_semi")
+
+
+@q("recall_any_case", PRE + "SELECT DISTINCT id AS source_id FROM d WHERE clean_text ILIKE '%rd.%' AND clean_text NOT ILIKE '%no. 3%'")
+def recall_any_case(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return P.keyword_hits(load(spark, sf_dir, "decisions"), SearchSpec(("RD.",), (), ("NO. 3",)), True).select("source_id")
+
+
+@q("recall_own_statutes")
+def recall_own_statutes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statutes of the rulings' own texts instead of those that they cite."""
+    d = load(spark, sf_dir, "decisions")
+    own = E.ruling_statutes(d)
+    return P.recalled(d, load(spark, sf_dir, "citations"), tables(spark, sf_dir, "citation_snippet_statutes")[0], P.checked(SPEC), own=own)
+
+
+@q("norm_filters", "SELECT * FROM (VALUES (0, '民事訴訟法', '447', NULL), (1, '民法', NULL, NULL), (2, '勞動基準法', '14', '第1項')) t(position, law, article, sub_ref)")
+def norm_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    f = P.normal_filters([StatuteFilter("民訴法", "447"), StatuteFilter(" 民法"), StatuteFilter("民事訴訟法", "447"), StatuteFilter("勞基法", "14", "第1項")])
+    return spark.createDataFrame([(i, x.law, x.article, x.sub_ref) for i, x in enumerate(f)], "position int, law string, article string, sub_ref string")
 
 
 @q("norm_terms", "SELECT * FROM (VALUES (0, '過失比例'), (1, '舉證責任')) t(position, term)")
@@ -265,9 +287,9 @@ def _scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SCORES = (
-    _WIN + _recall(BROAD) + ", u AS (SELECT source_id, target_uid, window_text FROM w WHERE source_id IN (SELECT source_id FROM r)), n AS (SELECT CAST(count(*) AS DOUBLE) AS n, "
+    _WIN + _recall(BROAD) + ", u AS (SELECT source_id, target_uid, window_text FROM w WHERE source_id IN (SELECT source_id FROM r)), n AS (SELECT CAST(count(*) AS DOUBLE) AS n, greatest(coalesce(avg(length(window_text)), 0), 1.0) AS size, "
     + ", ".join(f"CAST(sum(CAST(contains(window_text, '{k}') AS INT)) AS DOUBLE) AS k{i}" for i, k in enumerate(SPEC.keywords)) + " FROM u), sc AS (SELECT target_uid, source_id, "
-    + " + ".join(f"(SELECT t / (t + 1.2) * ln(1.0 + (n.n - n.k{i} + 0.5) / (n.k{i} + 0.5)) FROM (SELECT (length(window_text) - length(replace(window_text, '{k}', ''))) / {len(k)}.0::DOUBLE AS t))" for i, k in enumerate(SPEC.keywords))
+    + " + ".join(f"(SELECT t * 2.2 / (t + 1.2 * (0.25 + 0.75 * length(window_text) / n.size)) * ln(1.0 + (n.n - n.k{i} + 0.5) / (n.k{i} + 0.5)) FROM (SELECT (length(window_text) - length(replace(window_text, '{k}', ''))) / {len(k)}.0::DOUBLE AS t))" for i, k in enumerate(SPEC.keywords))
     + " AS score FROM u, n), tp AS (SELECT *, row_number() OVER (PARTITION BY target_uid ORDER BY score DESC, source_id) AS rn FROM sc), ts AS (SELECT target_uid, sum(score) AS score_sum, avg(score) AS score_avg FROM tp WHERE rn <= 5 GROUP BY 1)"
 )
 

@@ -6,8 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from casemesh.functions import text as T
-from casemesh.operators import extract, ingest
+from casemesh.operators import ingest
 
 
 def raw_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) -> DataFrame:
@@ -17,20 +16,29 @@ def raw_stream(spark: SparkSession, folder: str, files_per_batch: int = 1000) ->
     return raw.withColumns({"file_name": F.element_at(F.split(path, "/"), -1), "folder_name": F.element_at(F.split(path, "/"), -2)})
 
 
-def run(spark: SparkSession, folder: str, courts: DataFrame, out: str, checkpoint: str, **trigger) -> StreamingQuery:
+_KEYS = ["id", "jid", "unit_norm", "jyear", "jcase_norm", "jno", "case_type", "doc_type"]
+
+
+def run(spark: SparkSession, folder: str, courts: DataFrame, decisions: DataFrame, out: str, checkpoint: str, names: tuple[str, ...] = (), **trigger) -> StreamingQuery:
     """Writes rulings, citations, statutes and errors under out; a batch that is run again overwrites itself.
 
-    trigger: as of DataStreamWriter.trigger, by default everything that is there.
+    decisions: the records that are there before, full rulings and placeholders. Every batch is upserted as a folder is
+    (ingest.processed): a known jid keeps its id, a placeholder becomes the ruling. trigger: as of DataStreamWriter.trigger,
+    by default everything that is there.
     """
 
+    def known(number: int) -> DataFrame:
+        before = [f"{out}/rulings/batch={n}" for n in range(number)]
+        written = [p for p in before if _exists(spark, p)]
+        return decisions.select(*_KEYS) if not written else decisions.select(*_KEYS).unionByName(spark.read.option("mergeSchema", True).parquet(*written).select(*_KEYS))
+
     def write(batch: DataFrame, number: int) -> None:
-        held = batch.persist()
-        good, errors = ingest.split_errors(held)
-        rows = ingest.located(ingest.prepared(good), courts).dropDuplicates(["jid"]).withColumn("id", F.xxhash64("jid"))
-        court = T.citation_court(F.col("unit_norm"))
-        texts = rows.select("id", F.col("clean_text").alias("text"), court.alias("court"), court.alias("own_court"), F.col("jyear").alias("own_jyear"), F.col("jcase_norm").alias("own_jcase"), F.col("jno").alias("own_jno"))
-        for name, df in (("rulings", rows), ("citations", extract.citations(texts)), ("statutes", extract.statutes(texts)), ("errors", errors)):
+        for name, df in ingest.processed(batch, courts, known(number), names).items():
             df.write.mode("overwrite").parquet(f"{out}/{name}/batch={number}")
-        held.unpersist()
 
     return raw_stream(spark, folder).writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(at)

@@ -224,7 +224,75 @@ def test_cache_times_and_sizes(spark):
     cache.update("b", df)
     now[0] = 11
     assert cache.get("c") is None and cache.get("b") is not None
-    assert signature(SearchSpec(("a",))) == signature(SearchSpec(("a",), extra={"page": 2})) != signature(SearchSpec(("b",)))
+    assert signature(SearchSpec(("a",))) == signature(SearchSpec(("a",))) != signature(SearchSpec(("b",)))
+
+
+def test_cache_keeps_orders_until_the_rankings_change(spark):
+    dropped = []
+    cache = SearchCache(10, 1)
+    cache.put("a", spark.range(3), spark.range(5), lambda: dropped.append("a"))
+    made = []
+    make = lambda df: made.append(1) or df.orderBy(F.desc("id"))
+    assert [r.id for r in cache.order("a", "down", make).collect()] == [4, 3, 2, 1, 0]
+    assert cache.order("a", "down", make) is cache.order("a", "down", make) and made == [1]
+    cache.update("a", spark.range(2))
+    assert [r.id for r in cache.order("a", "down", make).collect()] == [1, 0] and made == [1, 1]
+    assert cache.order("missing", "down", make) is None
+    cache.put("b", spark.range(1))
+    assert dropped == ["a"]
+
+
+def test_tables_are_removed_with_their_context(spark):
+    import os
+
+    from casemesh.operators.durable import Tables, cut
+
+    kept = Tables()
+    with Tables() as some:
+        inside = cut(spark.range(4))
+        out = kept.cut(inside.where("id > 1"))
+        (path,) = some.paths
+        assert os.path.exists(path.removeprefix("file://"))
+    assert not os.path.exists(path.removeprefix("file://")) and [r.id for r in out.orderBy("id").collect()] == [2, 3]
+    kept.release()
+
+
+def test_requests():
+    spec = recall.spec_of({"keywords": [" a ", "a"], "statutes": [{"law": "民訴法", "article": "1"}, ["民事訴訟法", "1"]], "case_types": "民事, 刑事"})
+    assert spec == SearchSpec(("a",), (StatuteFilter("民事訴訟法", "1"),), case_types=("民事", "刑事"))
+    with pytest.raises(ValueError, match="unknown fields"):
+        recall.spec_of({"keywords": ["a"], "page": 2})
+    with pytest.raises(ValueError, match="keyword"):
+        recall.spec_of({})
+
+
+def test_edges_keep_their_ids(spark):
+    columns = "id long, source_id long, target_id long, target_authority_id long, match_start int, match_end int, snippet string, created_at timestamp_ntz"
+    old = spark.createDataFrame([(1, 10, 5, None, 0, 9, "a", None), (2, 10, 6, None, 20, 29, "b", None), (3, 11, 5, None, 0, 9, "c", None), (4, 12, None, 7, 3, 9, "d", None)], columns)
+    new = spark.createDataFrame([(-1, 10, 5, None, 0, 8, "old", None), (-1, 10, 5, None, 0, 9, "new", None), (-1, 10, 6, None, 21, 30, "moved", None), (-1, 12, None, 7, 3, 9, "d", None)], columns)
+    out = {(r.source_id, r.match_start): (r.id, r.snippet) for r in graph.replaced_by_source(old, new, spark.createDataFrame([(10,), (12,), (13,)], "source_id long")).collect()}
+    assert out[10, 0] == (1, "new") and out[11, 0] == (3, "c") and out[12, 3] == (4, "d") and out[10, 21][0] not in (1, 2, -1) and len(out) == 4
+    again = graph.replaced_by_source(old, new, spark.createDataFrame([(10,)], "source_id long"))
+    assert {r.id for r in again.where("match_start = 21").collect()} == {out[10, 21][0]}
+    assert graph.replaced_by_source(old.limit(0), new.limit(0), spark.createDataFrame([], "source_id long")).collect() == []
+
+
+def test_phrase_index_finds_what_a_scan_finds(spark, tmp_path, monkeypatch):
+    from casemesh.operators import phrase_index as I
+
+    rng = random.Random(12)
+    rows = [(i, rng.choice(["民事", "刑事", None]), "".join(rng.choice("甲乙丙𠮷a ") for _ in range(rng.randrange(40))), "x") for i in range(300)]
+    rows += rows[:20] + [(900, "民事", None, ""), (901, "民事", "", ""), (None, "民事", "甲乙丙", "")]
+    d = spark.createDataFrame(rows, "id long, case_type string, clean_text string, note string")
+    I.build(d, str(tmp_path / "index"))
+    assert I.indexed(spark, str(tmp_path / "index")) and not I.indexed(spark, str(tmp_path / "none"))
+    for listed in (5000, 3):
+        monkeypatch.setattr(I, "LISTED", listed)
+        for spec in (SearchSpec(("甲乙",)), SearchSpec(("甲乙丙𠮷",)), SearchSpec(("乙甲", "a ")), SearchSpec(("甲",)), SearchSpec(("甲乙",), (), ("丙丙",), (), ("民事",)), SearchSpec(("無此",))):
+            want = {tuple(r) for r in recall.keyword_hits(d, spec).collect()}
+            assert {tuple(r) for r in I.hits(spark, str(tmp_path / "index"), spec).collect()} == want, spec
+    I.build(d.limit(0), str(tmp_path / "empty"))
+    assert I.hits(spark, str(tmp_path / "empty"), SearchSpec(("甲乙",))).collect() == []
 
 
 def test_batch_and_stream(spark, tmp_path):
@@ -244,14 +312,28 @@ def test_batch_and_stream(spark, tmp_path):
     r = out["rulings"].first()
     assert (r.jid, r.jcase_norm, r.doc_type, r.case_type, r.state) == ("A,1", "台上", "判決", "民事", "new")
     assert [(c.court, c.jno) for c in out["citations"].collect()] == [("最高法院", 5)]
+    assert [s.law for s in out["snippet_statutes"].collect()] == ["民法"]
+    assert ingest.batch(spark, str(tmp_path / "202401"), courts, d, word="刑事")["rulings"].count() == 0
     assert [(s.law, s.article_raw) for s in out["statutes"].collect()] == [("民法", "1")]
 
     from casemesh.streaming.ingest import run
 
-    query = run(spark, str(tmp_path / "202401"), courts, str(tmp_path / "out"), str(tmp_path / "cp"))
+    places = spark.createDataFrame([(77, "臺灣高等法院", 113, "台上", 7, "民事", "判決", None, 77, "")], D)
+    query = run(spark, str(tmp_path / "202401"), courts, places, str(tmp_path / "out"), str(tmp_path / "cp"))
     query.awaitTermination()
-    assert spark.read.parquet(str(tmp_path / "out/citations")).count() == 1
-    assert spark.read.parquet(str(tmp_path / "out/errors")).count() == 3
+    read = lambda name: spark.read.parquet(str(tmp_path / "out" / name))
+    assert [(r.id, r.state) for r in read("rulings").collect()] == [(77, "filled")]
+    assert [r.source_id for r in read("citations").collect()] == [77] and [r.decision_id for r in read("statutes").collect()] == [77]
+    assert read("errors").count() == 3 and read("snippet_statutes").count() == 1
+    (folder / "4.json").write_text(json.dumps(base, ensure_ascii=False))  # the same ruling again, and another
+    (folder / "5.json").write_text(json.dumps(base | {"JID": "A,9", "JNO": "8"}, ensure_ascii=False))
+    run(spark, str(tmp_path / "202401"), courts, places, str(tmp_path / "out"), str(tmp_path / "cp")).awaitTermination()
+    later = {r.jid: (r.id, r.state) for r in read("rulings").where("batch > 0").collect()}
+    assert later["A,1"] == (77, "known") and later["A,9"][1] == "new"
+
+    ledger = ingest.months(spark, [str(tmp_path / "202401")], courts, places, str(tmp_path / "months"), ("甲乙法",))
+    assert [(r.folder_name, r.n_files, r.n_errors) for r in ledger.collect()] == [("202401", 2, 3)]
+    assert spark.read.parquet(str(tmp_path / "months/statutes")).where("law = '民法'").count() == 2
 
 
 def test_no_citation_is_proposed_that_isnt_one(spark, data):

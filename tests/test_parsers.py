@@ -1,12 +1,13 @@
 """Parsers on hand-written texts."""
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from casemesh.parse import chunks as K
 from casemesh.parse import citations as C
-from casemesh.parse import cleaner, courts, marks, reasonings, statutes
+from casemesh.parse import cleaner, marks, reasonings, statutes
 
 HEAD = "主文\r\n被告應給付。\r\n理由\r\n"
 OWN = "台灣台北地方法院"
@@ -116,32 +117,66 @@ def test_cleaner_joins_wrapped_lines_and_cuts_after_the_clerk():
 
 def test_chunk_bounds_hold_the_citation():
     body = "理由\n" + "".join(f"\n{n}、" + "甲乙丙。" * 60 for n in "一二三四五六七八九十")
-    signs = K.item_signs(body)
+    cuts = K.Cuts(body)
+    signs = cuts.items.tolist()
     assert [body[i] for i in signs] == list("一二三四五六七八九十")
-    a, b = K.bounds(body, signs[3] + 20, signs[3] + 30, signs)
-    assert (a, b) == (signs[3], signs[4])
+    one = lambda start, end, limit=K.LIMIT: tuple(int(x[0]) for x in cuts.bounds(np.array([start]), np.array([end]), limit))
+    assert one(signs[3] + 20, signs[3] + 30) == (signs[3], signs[4])
 
     @settings(max_examples=200, deadline=None)
     @given(st.integers(0, len(body) - 10), st.integers(1, 300), st.integers(20, 400))
     def holds(start, size, limit):
         end = min(len(body), start + size)
-        low, high = K.bounds(body, start, end, signs, limit=limit)
+        low, high = one(start, end, limit)
         assert 0 <= low <= start and end <= high <= len(body)
         assert high - low <= max(limit, end - start + K.LEAST_BEFORE)
 
     holds()
 
 
+def test_chunks_of_many_citations_at_once():
+    body = "主文\n駁回。\n理由\n" + "".join(f"\n{n}、" + "甲乙丙。" * 200 for n in "一二三") + "\n中　華　民　國"
+    cuts = K.Cuts(body)
+    start = np.arange(20, len(body) - 40, 37)
+    low, high = cuts.bounds(*cuts.spans(start, start + 9, [body[max(0, s - 60) : s + 20][:80] for s in start.tolist()], np.full(len(start), 80)))
+    for i, s in enumerate(start.tolist()):
+        a, b = cuts.bounds(*cuts.spans(start[i : i + 1], start[i : i + 1] + 9, [body[max(0, s - 60) : s + 20][:80]], np.array([80])))
+        assert (low[i], high[i]) == (a[0], b[0])
+    assert high.max() == body.index("中　華") and low.min() >= 0
+    run, first, last = K.runs(low, high)
+    assert (first <= low).all() and (last >= high).all() and run.min() == 0
+    none = np.empty(0, dtype=np.int64)
+    assert [len(x) for x in K.runs(none, none)] == [0, 0, 0]
+
+
+def test_parties_before_reasons():
+    head = "某法院裁定\n原　告　甲\n　　　　乙\n被　告　丙\n　　　　丁\n" + "本件駁回。" * 10
+    assert K.reasons_floor(head) == head.index("本件")
+    assert K.reasons_floor("無標題") == 0 and K.reasons_floor("") == 0
+
+
 @pytest.mark.parametrize(
-    ("folder", "want"),
+    ("text", "laws"),
     [
-        ("臺灣高等法院民事", ("臺灣高等法院", 2, "民事")), ("三重簡易庭刑事", ("臺灣新北地方法院三重簡易庭", 4, "刑事")), ("最高法院家事", ("最高法院", 1, "民事")),
-        ("臺中高等行政法院 地方庭行政", ("臺中高等行政法院地方庭", 3, "行政")), ("憲法法庭憲法", ("憲法法庭", 0, "憲法")), ("無此法院民事", None), ("某地方法院民事", None), ("", None),
+        ("依水土保持法第8條、政府資訊公開法第18條第1項", [("水土保持法", "8"), ("政府資訊公開法", "18")]),
+        ("按都市危險及老舊建築物加速重建條例第5條", [("都市危險及老舊建築物加速重建條例", "5")]),
+        ("依勞工保險條例施行細則第9條及道路交通事故處理辦法第12條", [("勞工保險條例施行細則", "9"), ("道路交通事故處理辦法", "12")]),
+        ("違反再生能源發展條例第3條", [("再生能源發展條例", "3")]), ("民法與水土保持法第3條", [("水土保持法", "3")]),
+        ("上開方法第2條", []), ("依本辦法第3條", []), ("同法第3條", []), ("不法第3條", []), ("民法第3條", []), (None, []), ("", []),
     ],
 )
-def test_courts(folder, want):
-    c = courts.court_of_folder(folder)
-    assert (c and (c.unit_norm, c.level, c.case_type)) == want
+def test_laws_by_rule(text, laws):
+    names = tuple(statutes.likely_names(text))
+    assert names == tuple(law for law, _ in laws)
+    found = [s[:2] for s in statutes.statutes(text, names)]
+    assert [f for f in found if f[0] != "民法"] == laws
+
+
+def test_number_chains_need_a_listing_sign():
+    keys = lambda t: [p.auth_key for p in C.proposals(t, "")]
+    assert keys("司法院釋字第400號、第425號及第500號解釋") == ["釋字|400", "釋字|425", "釋字|500"]
+    assert keys("司法院釋字第400號，第425號解釋") == ["釋字|400"]
+    assert [p.jno for p in C.proposals("憲法法庭111年憲判字第1號，第2號", "")] == [1]
 
 
 def test_marks():
