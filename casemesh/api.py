@@ -53,7 +53,7 @@ class CitationEngine:
     """
 
     def __init__(self, spark: SparkSession, folder: str, windows_path: str | None = None, cache: SearchCache | None = None, index_path: str | None = None, statutes_path: str | None = None) -> None:
-        self.spark, self.folder, self.cache = spark, folder, cache or SearchCache()
+        self.spark, self.folder, self.cache = spark, folder, SearchCache() if cache is None else cache
         self._windows_path, self._index_path, self._statutes_path = windows_path, index_path, statutes_path
 
     def _thin(self, name: str, *columns: str) -> DataFrame:
