@@ -101,13 +101,19 @@ def flat(c: Column) -> Column:
     return F.regexp_replace(F.regexp_replace(c, "[\r\n]+", ""), f"[{WHITE}]+", " ")
 
 
+def place_of(text: Column, pattern: str) -> Column:
+    """Where a pattern first stands, from 1, or 0. In characters; regexp_instr counts those outside the basic plane twice."""
+    parts = F.split(text, pattern, 2)
+    return F.when(F.size(parts) > 1, F.length(parts[0]) + 1).otherwise(0)
+
+
 _HEADINGS = {"main": "主[ 　]*文", "fact": "(?:犯[ 　]*罪[ 　]*)?事[ 　]*實", "reason": "(?:(?:犯[ 　]*罪[ 　]*)?事[ 　]*實[ 　]*(?:及|與)[ 　]*)?理[ 　]*由(?:[ 　]*要[ 　]*領)?"}
 
 
 def sections(text: Column) -> Column:
     """struct(header, main, fact, reason): the parts of a ruling by its heading lines; a part without heading is null."""
     t = F.concat(F.lit("\n"), F.regexp_replace(text, "\r\n", "\n"), F.lit("\n"))
-    at = {k: F.regexp_instr(t, F.lit(rf"\n[ 　]*{p}[ 　]*[：:]?[ 　]*(?=\n)")) for k, p in _HEADINGS.items()}
+    at = {k: place_of(t, rf"\n[ 　]*{p}[ 　]*[：:]?[ 　]*(?=\n)") for k, p in _HEADINGS.items()}
     end = F.length(t) + 1
 
     def after(*keys: str) -> Column:
@@ -126,6 +132,39 @@ def sections(text: Column) -> Column:
     )
 
 
+#: Characters at the end of a ruling in which its footer is looked for.
+TAIL = 500
+# Signs of items at the start of a line, by which a text is divided; digits in Han signs.
+_ITEM = (
+    r"((?:^|\n)[ \t　]*)(?=[㈠㈡㈢㈣㈤㈥㈦㈧㈨㈩⒈⒉⒊⒋⒌⒍⒎⒏⒐⒑⒒⒓⒔⒕⒖⒗⒘⒙⒚⒛①②③④⑤⑥⑦⑧⑨⑩⑪⑫⑬⑭⑮⑯⑰⑱⑲⑳⑴⑵⑶⑷⑸⑹⑺⑻⑼⑽]|[一二三四五六七八九十]+、|[（(][一二三四五六七八九十]+[）)]|[0-9０-９]{1,3}[.、](?![0-9０-９]))"
+)
+_HAN_DIGITS = "一二三四五六七八九"
+_MARK = "\ue0ff"
+
+
+def footer_position(text: Column) -> Column:
+    """Where the footer's date begins in the last TAIL signs, from 0; null if it doesn't."""
+    low = F.greatest(F.length(text) - TAIL, F.lit(0))
+    at = place_of(F.substring(text, low + 1, F.lit(TAIL)), r"(?U)中\s*華\s*民\s*國")
+    return F.when(at > 0, low + at - 1)
+
+
+def item_positions(text: Column) -> Column:
+    """Where items like 一、 begin at the start of a line, from 0: the text is divided at them, and the parts' lengths added up."""
+    parts = F.transform(F.split(F.regexp_replace(text, _ITEM, "$1" + _MARK), _MARK), lambda p: F.length(p))
+    before = lambda i: F.aggregate(F.slice(parts, 1, i), F.lit(0), lambda a, n: a + n)
+    return F.when(F.size(parts) > 1, F.transform(F.sequence(F.lit(1), F.size(parts) - 1), before)).otherwise(F.array().cast("array<int>"))
+
+
+def number(written: Column) -> Column:
+    """A number in digits or in Han signs below a thousand."""
+    digit = lambda c: F.when(c == "", 0).otherwise(F.instr(F.lit(_HAN_DIGITS), c))
+    part = lambda unit: F.regexp_extract(written, f"([{_HAN_DIGITS}]?){unit}", 1)
+    times = lambda unit: F.when(F.instr(written, unit) > 0, F.greatest(digit(part(unit)), F.lit(1))).otherwise(0)
+    rest = digit(F.regexp_extract(written, f"([{_HAN_DIGITS}])$", 1))
+    return F.coalesce(F.when(written.rlike("^[0-9]+$"), written).try_cast("int"), (times("百") * 100 + times("十") * 10 + rest).cast("int"))
+
+
 def authority_root(kind: Column, key: Column) -> Column:
     """The body that an authority comes from: by its type, of conferences by the organiser that its key begins with.
 

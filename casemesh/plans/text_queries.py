@@ -46,6 +46,58 @@ def filter_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir, "rulings").select("id", "reject_reason")
 
 
+@q(
+    "filter_rules_all",
+    X.sql("rules") + """SELECT id, CASE WHEN item = 1 THEN NULL WHEN item = 2 THEN 'R006_before_reason' WHEN item = 3 THEN 'R007_after_zhengben' WHEN item = 4 THEN 'R001_self_citation' WHEN item = 5 THEN 'R011_evidence_cite'
+ WHEN item = 6 THEN CASE flag WHEN 'A' THEN 'R002_ben_yuan_missing_intent' ELSE 'R009_district_court_missing_intent' END ELSE CASE flag WHEN 'A' THEN 'R005a_party_context' WHEN 'N' THEN 'R010_authority_missing_intent' END END AS reject_reason FROM f""",
+)
+def filter_rules_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts in which each of the conditions is the first to fail; the source's own docket is 999 訴 1."""
+    return _judged(spark, sf_dir, "rules").select("id", "reject_reason")
+
+
+@q("opinion_scan", X.sql("opinions") + "SELECT id, 'agency_opinion' AS auth_type, concat('研審小組|', jyear, '|', art) AS auth_key FROM f")
+def opinion_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _judged(spark, sf_dir, "opinions").where("citation_type = 'authority' and reject_reason is null").select("id", "auth_type", "auth_key")
+
+
+@q("number_chain", X.sql("signs") + "SELECT id, concat('釋字|', art) AS auth_key FROM f UNION ALL SELECT id, concat('釋字|', art + 1) FROM f WHERE flag <> 'N'")
+def number_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A comma ends a chain of numbers, other signs go on."""
+    return _judged(spark, sf_dir, "signs").select("id", "auth_key")
+
+
+@q(
+    "snippet_shapes",
+    X.sql("snippets") + """SELECT id, CASE flag WHEN 'A' THEN substr(text, position('按丙' IN text), position('參照）' IN text) + 3 - position('按丙' IN text)) WHEN 'N' THEN substr(text, position('一、' IN text), position('」' IN text) + 1 - position('一、' IN text))
+ ELSE substr(text, position('戊己' IN text), position('庚' IN text) - 2 - position('戊己' IN text)) END AS snippet FROM f""",
+)
+def snippet_shapes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Openers, brackets around a citation, closing quotes, ends of lines, and a reference before."""
+    return _judged(spark, sf_dir, "snippets").select("id", "snippet")
+
+
+@q("cleaned_text", "WITH " + "r AS (" + f"SELECT id, {X.TEXTS['clean']} AS text FROM ({X.BASE})) SELECT id, text FROM r")
+def cleaned_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw texts in hard-wrapped lines, cleaned."""
+    return X.texts(spark, sf_dir, "raw").select("id", E.cleaned(F.col("text")).alias("text"))
+
+
+@q(
+    "statute_items",
+    X.sql("extension") + "SELECT id, CAST(art AS VARCHAR) AS article_raw, concat('第', item, '項第1款') AS sub_ref FROM f UNION ALL SELECT id, CAST(art AS VARCHAR), '第2款但書' FROM f UNION ALL SELECT id, concat(art + 1, '之2'), '' FROM f",
+)
+def statute_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return E.statutes(X.texts(spark, sf_dir, "extension")).select("id", "article_raw", "sub_ref")
+
+
+@q("backfill_of_texts", X.sql("rulings") + "SELECT id, '民法' AS law, CAST(art AS VARCHAR) AS article_raw, concat('第', item, '項') AS sub_ref FROM f WHERE flag <> 'A'")
+def backfill_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statutes of the texts that have none yet: those of one flag are done."""
+    t = X.texts(spark, sf_dir, "rulings")
+    return E.missing_statutes(t.select("id", "text"), t.where("flag = 'A'").select("id")).drop("raw_match")
+
+
 @q("reject_histogram", X.sql("rulings") + "SELECT CASE WHEN flag IN ('A', 'N') THEN 'accepted' ELSE 'R003_prior_case' END AS outcome, count(*) AS n FROM f GROUP BY 1")
 def reject_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _judged(spark, sf_dir, "rulings").groupBy(F.coalesce("reject_reason", F.lit("accepted")).alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
@@ -139,10 +191,19 @@ def reject_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q("statute_backfill")
 def statute_backfill(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Statutes of the snippets that have none yet."""
+    """Statutes of the rulings' own texts and of the snippets that have none yet; no ruling has any in these tables."""
     c = load(spark, sf_dir, "citations").where("snippet is not null").select("id", F.col("snippet").alias("text")).dropDuplicates(["id"])
-    done = load(spark, sf_dir, "citation_snippet_statutes").select(F.col("citation_id").alias("id")).distinct()
-    return E.statutes(c.join(done, "id", "left_anti"))
+    done = load(spark, sf_dir, "citation_snippet_statutes").select(F.col("citation_id").alias("id"))
+    snippets = E.missing_statutes(c, done).select(F.lit("citation").alias("owner"), "id", "law", "article_raw", "sub_ref", "raw_match")
+    own = E.ruling_statutes(load(spark, sf_dir, "decisions")).select(F.lit("decision").alias("owner"), F.col("decision_id").alias("id"), "law", "article_raw", "sub_ref", "raw_match")
+    return snippets.unionByName(own)
+
+
+@q("law_names")
+def law_names(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Names of laws that the rulings mention besides the known ones."""
+    d = load(spark, sf_dir, "decisions").where("clean_text is not null").select("id", F.col("clean_text").alias("text"))
+    return E.law_names(d, 1)
 
 
 def _when(column: str, words, otherwise: str) -> str:
@@ -243,10 +304,30 @@ def clean_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     return load(spark, sf_dir, "decisions").where("clean_text is not null").select("id", E.cleaned(F.col("clean_text")).alias("text")).dropDuplicates(["id"])
 
 
-@q("split_sections")
+_LINES = "chr(10) || regexp_replace(clean_text, chr(13) || chr(10), chr(10), 'g') || chr(10)"
+_HEADS = {"main": "主[ 　]*文", "fact": "(?:犯[ 　]*罪[ 　]*)?事[ 　]*實", "reason": "(?:(?:犯[ 　]*罪[ 　]*)?事[ 　]*實[ 　]*(?:及|與)[ 　]*)?理[ 　]*由(?:[ 　]*要[ 　]*領)?"}
+
+
+def _place_sql(pattern: str) -> str:
+    """Where a heading line begins in x, from 1; null if there is none."""
+    return f"CASE WHEN regexp_matches(x, '\\n[ 　]*{pattern}[ 　]*[：:]?[ 　]*\\n') THEN length(regexp_extract(x, '(?s)^(.*?)\\n[ 　]*{pattern}[ 　]*[：:]?[ 　]*\\n', 1)) + 1 END"
+
+
+def _part_sql(key: str, *nexts: str) -> str:
+    stop = "least(" + ", ".join(["length(x) + 1", *[f"CASE WHEN {n} > {key} THEN {n} END" for n in nexts]]) + ")" if nexts else "length(x) + 1"
+    return f"CASE WHEN {key} IS NOT NULL THEN trim(regexp_replace(substr(x, {key} + 1, {stop} - {key} - 1), '^[^\\n]*\\n?', ''), chr(10) || ' 　') END AS {key}_text"
+
+
+@q(
+    "split_sections",
+    PRE + f""", x AS (SELECT id, {_LINES} AS x FROM d WHERE clean_text IS NOT NULL), p AS (SELECT *, {", ".join(f"{_place_sql(v)} AS {k}" for k, v in _HEADS.items())} FROM x)
+SELECT id, md5(trim(substr(x, 1, least(length(x) + 1, main, fact, reason) - 1), chr(10) || ' 　')) AS header, md5(main_text) AS main, md5(fact_text) AS fact, md5(reason_text) AS reason
+FROM (SELECT *, {_part_sql("main", "fact", "reason")}, {_part_sql("fact", "reason")}, {_part_sql("reason")} FROM p)""",
+)
 def split_sections(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The parts of each ruling, by their digests."""
     d = load(spark, sf_dir, "decisions").where("clean_text is not null").dropDuplicates(["id"])
-    return d.select("id", T.sections(F.col("clean_text")).alias("s")).select("id", *[F.length(f"s.{p}").cast("long").alias(f"{p}_chars") for p in ("header", "main", "fact", "reason")])
+    return d.select("id", T.sections(F.col("clean_text")).alias("s")).select("id", *[F.md5(f"s.{p}").alias(p) for p in ("header", "main", "fact", "reason")])
 
 
 def _of_text(name: str, function, kind: str) -> None:
@@ -257,26 +338,59 @@ def _of_text(name: str, function, kind: str) -> None:
         return d.select("id", (F.array_join(F.transform(out, lambda x: x.cast("string")), ",") if kind.startswith("array") else out).alias("value"))
 
 
-_of_text("section_markers", K.item_signs, "array<int>")
-_of_text("footer_pos", K.footer_start, "int")
 _of_text("reason_floor", K.reasons_floor, "int")
 
 
-@q("cn_to_int", "SELECT * FROM (VALUES ('十', 10), ('二十一', 21), ('百', 100), ('百零三', 103), ('三百二十', 320), ('七', 7), ('42', 42)) t(written, value)")
-def cn_to_int(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = spark.createDataFrame([(s,) for s in ("十", "二十一", "百", "百零三", "三百二十", "七", "42")], "written string")
-    return rows.select("written", E.text_function(C.number_of, "int")(F.col("written")).alias("value"))
+@q(
+    "footer_pos",
+    PRE + """, t AS (SELECT id, clean_text, greatest(length(clean_text) - 500, 0) AS low FROM d WHERE clean_text IS NOT NULL), r AS (SELECT id, low, substr(clean_text, low + 1) AS tail FROM t)
+SELECT id, CASE WHEN regexp_matches(tail, '中[\\s\\p{Z}]*華[\\s\\p{Z}]*民[\\s\\p{Z}]*國') THEN low + length(regexp_extract(tail, '(?s)^(.*?)中[\\s\\p{Z}]*華[\\s\\p{Z}]*民[\\s\\p{Z}]*國', 1)) END AS value FROM r""",
+)
+def footer_pos(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return thin(spark, sf_dir, "decisions", "clean_text").where("clean_text is not null").select("id", T.footer_position(F.col("clean_text")).cast("long").alias("value"))
 
 
 @q(
-    "highlight",
-    PRE + "SELECT c.id, instr(snippet, '過失比例') - 1 AS start_pos, instr(snippet, '過失比例') + 3 AS end_pos, 'keyword' AS kind FROM c WHERE contains(snippet, '過失比例') AND length(snippet) - length(replace(snippet, '過失比例', '')) = 4",
+    "section_markers",
+    X.sql("items") + "SELECT id, concat_ws(',', position('一、' IN text) - 1, position('二、' IN text) - 1, position('三、' IN text) - 1) AS value FROM f",
 )
-def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Of the snippets with one mark."""
-    spans = E.text_function(lambda t: marks.highlights(t, ["過失比例"], []), "array<struct<start_pos:long,end_pos:long,kind:string>>")
-    c = thin(spark, sf_dir, "citations", "snippet").where("snippet is not null").select("id", spans(F.col("snippet")).alias("spans")).where("size(spans) = 1")
-    return c.select("id", F.inline("spans"))
+def section_markers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return X.texts(spark, sf_dir, "items").select("id", F.array_join(F.transform(T.item_positions(F.col("text")), lambda x: x.cast("string")), ",").alias("value"))
+
+
+@q("section_markers_all")
+def section_markers_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+    d = thin(spark, sf_dir, "decisions", "clean_text").where("clean_text is not null")
+    return d.select("id", F.array_join(F.transform(T.item_positions(F.col("clean_text")), lambda x: x.cast("string")), ",").alias("value"))
+
+
+@q(
+    "chunk_bounds_of_texts",
+    X.sql("items") + """SELECT id, CASE WHEN position('三、' IN text) - 1 - (position('二、' IN text) - 1) <= 2000 THEN position('二、' IN text) - 1 END AS start_offset, position('三、' IN text) - 1 AS end_offset FROM f""",
+)
+def chunk_bounds_of_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A citation in an item of its own: the chunk is that item."""
+    from casemesh.operators.chunking import chunk_bounds
+
+    t = X.texts(spark, sf_dir, "items")
+    at = F.instr("text", "最高法院") - 1
+    cites = t.select("id", F.col("id").alias("source_id"), at.alias("match_start"), (F.instr("text", "號判決") + 2).alias("match_end"), F.lit(None).cast("string").alias("snippet"))
+    out = chunk_bounds(t.select("id", F.col("text").alias("clean_text")), cites)
+    return out.select("id", F.col("start").alias("start_offset"), F.col("end").alias("end_offset"))
+
+
+_NUMERALS = """SELECT n AS value, CASE WHEN n >= 100 THEN CASE WHEN n >= 200 THEN substr('一二三四五六七八九', n // 100, 1) ELSE CASE WHEN n % 2 = 0 THEN '一' ELSE '' END END || '百' ELSE '' END
+ || CASE WHEN n % 100 >= 10 THEN CASE WHEN n % 100 >= 20 OR n >= 100 THEN substr('一二三四五六七八九', (n % 100) // 10, 1) ELSE '' END || '十' ELSE CASE WHEN n >= 100 AND n % 10 > 0 THEN '零' ELSE '' END END
+ || CASE WHEN n % 10 > 0 THEN substr('一二三四五六七八九', n % 10, 1) ELSE '' END AS written"""
+
+
+@q("cn_to_int", _NUMERALS + " FROM range(1, 1000) t(n) UNION ALL SELECT n, CAST(n AS VARCHAR) FROM range(1, 1000) t(n)")
+def cn_to_int(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All numbers below a thousand, in Han signs and in digits."""
+    rows = spark.range(1, 1000).selectExpr("id AS n")
+    han = rows.selectExpr(_NUMERALS.replace("SELECT n AS value, ", "").replace("//", "div").replace(" AS written", "") + " AS written", "n")
+    both = han.unionByName(rows.select(F.col("n").cast("string").alias("written"), "n"))
+    return both.select("written", T.number(F.col("written")).cast("long").alias("value"))
 
 
 _MARKED = """o AS (SELECT id, 'keyword' AS kind, 4 AS n, string_split(snippet, '過失比例') AS x FROM c UNION ALL SELECT id, 'keyword', 7, string_split(snippet, '民法第184條') FROM c
@@ -284,18 +398,29 @@ UNION ALL SELECT id, 'statute', 2, string_split(replace(snippet, '民法第184
 m AS (SELECT id, length(array_to_string(x[1:i], '')) + (i - 1) * n AS start_pos, n, kind FROM i)"""
 
 
-@q("highlight_all", PRE + ", " + _MARKED + " SELECT id, start_pos, start_pos + n AS end_pos, kind FROM m")
-def highlight_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@q("highlight", PRE + ", " + _MARKED + " SELECT id, start_pos, start_pos + n AS end_pos, kind FROM m")
+def highlight(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All marks of all snippets; one keyword begins with the statute and wins."""
     spans = E.text_function(lambda t: marks.highlights(t, ["過失比例", "民法第184條"], ["民法"]), "array<struct<start_pos:long,end_pos:long,kind:string>>")
     c = thin(spark, sf_dir, "citations", "snippet").where("snippet is not null").select("id", spans(F.col("snippet")).alias("spans"))
     return c.select("id", F.inline("spans"))
 
 
-@q("answer_tags", "SELECT * FROM (VALUES ('heading', NULL, NULL, '爭點'), ('cite', 'target', '12', '甲案'), ('statute', '民法', '184', '民法第184條')) t(kind, name, key, label)")
+_ANSWERS = "concat('<h3>爭點 ', CAST(item AS STRING), '</h3>依<cite type=\"', CASE flag WHEN 'A' THEN 'source' WHEN 'N' THEN 'target' ELSE 'supreme' END, '\" id=\"', CAST(jno AS STRING), '\">甲</cite>及<statute law=\"民法\" article=\"', CAST(art AS STRING), '\">民法第', CAST(art AS STRING), '條</statute>')"
+
+
+@q(
+    "answer_tags",
+    f"WITH f AS ({X.BASE}) SELECT id, 'heading' AS kind, NULL AS name, NULL AS key, concat('爭點 ', item) AS label FROM f UNION ALL SELECT id, 'cite', CASE flag WHEN 'A' THEN 'source' WHEN 'N' THEN 'target' ELSE 'supreme' END, CAST(jno AS VARCHAR), '甲' FROM f"
+    " UNION ALL SELECT id, 'statute', '民法', CAST(art AS VARCHAR), concat('民法第', art, '條') FROM f",
+)
 def answer_tags(spark: SparkSession, sf_dir: str) -> DataFrame:
-    text = '<h3>爭點</h3>依<cite type="target" id="12">甲案</cite>及<statute law="民法" article="184">民法第184條</statute>'
-    return spark.createDataFrame(marks.answer_tags(text), "kind string, name string, key string, label string")
+    from casemesh.sources.tables import views
+
+    views(spark, sf_dir, "lineitem")
+    rows = lambda t: [dict(zip(("kind", "name", "key", "label"), x, strict=True)) for x in marks.answer_tags(t)]
+    tags = E.text_function(rows, "array<struct<kind:string,name:string,key:string,label:string>>")
+    return spark.sql(f"SELECT id, {_ANSWERS} AS answer FROM ({X.BASE})").select("id", F.inline(tags(F.col("answer"))))
 
 
 @q("legacy_chunks")

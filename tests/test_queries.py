@@ -55,7 +55,7 @@ def test_nothing_imports_the_llm_package():
 
 def test_all_marks_are_shown(spark, data):
     text = {r.id: r.snippet for r in spark.read.parquet(f"{data}/citations.parquet").select("id", "snippet").collect() if r.snippet}
-    got = [(r.id, r.start_pos, r.end_pos, r.kind) for r in QUERIES["highlight_all"](spark, data).collect()]
+    got = [(r.id, r.start_pos, r.end_pos, r.kind) for r in QUERIES["highlight"](spark, data).collect()]
     want = []
     for i, t in text.items():
         for term, kind in (("過失比例", "keyword"), ("民法第184條", "keyword"), ("民法", "statute")):
