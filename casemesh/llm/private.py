@@ -91,6 +91,8 @@ ROLES = frozenset(
     "保證人 管理人 委任人 受任人 代理人 受僱人 僱用人 繼承人 被繼承人 監護人 輔助人 合夥人 共有人 鄰居 配偶 友人 朋友 同事 同學 房東 屋主 員工 病患 駕駛人 聯絡人 聯繫人 收件人 寄件人 簽收人 匯款人 受款人 所有人 "
     "檢察官 法官 書記官 兩造 當事人 本院 原審 法院 渠等 其 伊 該 他 上開 系爭".split()
 )
+_NO_FIRST = NO_NAME - SURNAMES - MAYBE_SURNAMES - {d[0] for d in DOUBLE_SURNAMES}
+_NO_LAST = NO_NAME | frozenset("人告院官造方，。、；：！？\n\r）)」』　 ")
 _LONG_ROLES = tuple(sorted(r for r in ROLES if len(r) > 1))
 _NOT_BEFORE = "檢察官 法官 書記官 兩造 當事人 本院 原審 法院 渠等 其 伊 該 他 上開 系爭".split()
 KIN = "父 母 父親 母親 夫 妻 子 女 兄 弟 姊 妹 配偶 長子 次子 長女 次女 胞兄 胞弟 胞姊 胞妹 祖父 祖母 外祖父 外祖母 岳父 岳母 女兒 兒子 丈夫 妻子 前夫 前妻 男友 女友 友人 員工 受僱人 代理人 同居人".split()
@@ -296,10 +298,11 @@ def _names(text: str, contacts: list[tuple[int, int]]) -> set[tuple[int, int]]:
             propose(*m.span(1), _AT_LABEL, max(_BY_EDGE, _after(text, m.end(1), starts)))
     for pattern, before in ((_ROLE, _AT_ROLE), (_NARRATIVE, _AT_NARRATIVE)):
         for m in pattern.finditer(text):
-            for end in _ends_of(text, m.end()):
-                propose(m.end(), end, before)
+            if text[m.end()] not in _NO_FIRST:
+                for end in _ends_of(text, m.end()):
+                    propose(m.end(), end, before)
     for m in _ACTS.finditer(text):
-        if text[m.start() - 1 : m.start()] not in ("人", "告", "院", "官", "造", "方"):
+        if m.start() and text[m.start() - 1] not in _NO_LAST:
             for start in _starts_of(text, m.start()):
                 propose(start, m.start(), None, _BY_ACT)
     for a, _ in contacts:
@@ -326,13 +329,14 @@ def _names(text: str, contacts: list[tuple[int, int]]) -> set[tuple[int, int]]:
 
 
 _CLAUSE_END = re.compile(r"[，。；、\r\n]")
+_AT_SIGNS = ("@", "＠", "小老鼠", "at", "AT", "At", "ａｔ")
 _LOCAL_SIGNS = frozenset("._%+＿．－-") | {chr(c + d) for c in [*range(48, 58), *range(65, 91), *range(97, 123)] for d in (0, 0xFEE0)} | {"_"}
 
 
 def _contacts(text: str) -> list[tuple[float, str, int, int]]:
     """Scored proposals of mail addresses, phone and identity numbers, and street addresses."""
     spans: list[tuple[float, str, int, int]] = []
-    for m in _AT.finditer(text):
+    for m in _AT.finditer(text) if any(sign in text for sign in _AT_SIGNS) else ():
         low = m.start()
         while low and text[low - 1] in _LOCAL_SIGNS:
             low -= 1
@@ -341,16 +345,18 @@ def _contacts(text: str) -> list[tuple[float, str, int, int]]:
         if local and host:
             a, b = low + local.start(), host.end()
             spans.append((_scored(text, "email", a, b), "email", a, b))
-    for pattern, kind in ((_PHONE, "phone"), (_PHONE_CN, "phone"), (_IDNO, "idno"), (_ADDRESS_EN, "address")):
-        for m in pattern.finditer(text):
-            spans.append((_scored(text, kind, *m.span()), kind, *m.span()))
-    for m in _PHONE_FOREIGN.finditer(text):
+    # signs without which a pattern can't match, as they are found much sooner than patterns
+    for pattern, kind, signs in ((_PHONE, "phone", None), (_PHONE_CN, "phone", "九"), (_IDNO, "idno", None), (_ADDRESS_EN, "address", ("No.",))):
+        if signs is None or any(sign in text for sign in signs):
+            for m in pattern.finditer(text):
+                spans.append((_scored(text, kind, *m.span()), kind, *m.span()))
+    for m in _PHONE_FOREIGN.finditer(text) if "+" in text or "＋" in text else ():
         if 8 <= sum(c.isdigit() for c in plain(m[0])) <= 15:
             spans.append((_scored(text, "phone", *m.span()) + 0.2, "phone", *m.span()))
-    for m in _SSN.finditer(text):
+    for m in _SSN.finditer(text) if "-" in text or "－" in text else ():
         if ssn_holds(m[0]):
             spans.append((_scored(text, "idno", *m.span()), "idno", *m.span()))
-    for m in _PASSPORT.finditer(text):
+    for m in _PASSPORT.finditer(text) if "護照" in text or "居留證" in text or "assport" in text else ():
         spans.append((0.7, "idno", *m.span(1)))
     at, seen = text.find("號"), 0
     while at >= 0:  # an address is looked for in a clause that has a door number
