@@ -90,8 +90,8 @@ def block_occurrences(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     enough = _support(lines, "unit", "h1", "h2").where(F.col("n") >= MIN_DOCUMENTS)
     strong = F.col("n") >= F.lit(MIN_SHARE) * F.col("documents")
     nodes = cut(enough.join(sizes, "unit").where(strong).select("unit", "h1", "h2", "n", "documents"))
-    n = nodes.count()
-    hits = cut(marked(lines, nodes.select("h1", "h2"), ["h1", "h2"], n).select("id", "unit", "line_no", "h1", "h2").distinct())
+    n, total = nodes.count(), lines.count()
+    hits = cut(marked(lines, nodes.select("h1", "h2", F.col("n").alias("n_rows")), ["h1", "h2"], n, total).select("id", "unit", "line_no", "h1", "h2").distinct())
     within = W.partitionBy("id", "unit").orderBy("line_no")
     follow = hits.withColumns({"n1": F.lead("h1").over(within), "n2": F.lead("h2").over(within)}).where("n1 is not null and n2 is not null")
     edges = _support(follow, "unit", "h1", "h2", "n1", "n2").join(sizes, "unit").where(strong & (F.col("n") >= MIN_DOCUMENTS))
@@ -100,7 +100,7 @@ def block_occurrences(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
         edges.select("unit", "h1", "h2", "n", F.lit(True).alias("edge"), "n1", "n2")
     )
     blocks = cut(graph.groupBy("unit").applyInPandas(_blocks, "unit string, h1 long, h2 long, n long, block long"))
-    of_block = marked(hits, blocks.select("h1", "h2", "block"), ["h1", "h2"], n)
+    of_block = marked(hits, blocks.select("h1", "h2", "block", F.col("n").alias("n_rows")), ["h1", "h2"], n, total)
     new = F.coalesce(F.lag("block").over(within) != F.col("block"), F.lit(True)).cast("int")
     runs = of_block.withColumn("new", new).withColumn("run", F.sum("new").over(within))
     # a run has no more lines than its document

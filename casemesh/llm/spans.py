@@ -125,14 +125,17 @@ def line_digests(text: str, least: int = SPAN) -> list[tuple[int, int, int, int,
     Lines are equal without white space and with full-width signs as ASCII, as elsewhere.
     """
     out = []
-    for m in re.finditer(rf"[^\r\n]{{{least},}}", text):
+    for m in _LINE_TEXT.finditer(text):
         line = m[0]
+        if len(line) < least:
+            continue
         own = blake2b(line.encode("utf-8", "surrogatepass"), digest_size=8).digest()
         both = blake2b(line.translate(_PLAIN).encode("utf-8", "surrogatepass"), digest_size=16).digest()
         out.append((m.start(), m.end(), *(int.from_bytes(x, "little", signed=True) for x in (both[:8], both[8:], own))))
     return out
 
 
+_LINE_TEXT = re.compile(r"[^\r\n]+")
 _LINE = "record_table string, id long, ent long, start int, end int, n1 long, n2 long, own long"
 
 
@@ -170,16 +173,18 @@ def shared_lines(texts: DataFrame) -> DataFrame:
     lines = cut(texts.mapInArrow(_line_rows, _LINE))
     by = ["record_table", "n1", "n2"]
     two = F.min("ent") < F.max("ent")
-    classes = cut(lines.groupBy(*by).agg(two.alias("two"), F.min("id").alias("first_id")).where("two").drop("two"))
-    found = cut(marked(lines, classes, by, classes.count()).distinct())
+    rows = F.count(F.lit(1)).alias("n_rows")
+    classes = cut(lines.groupBy(*by).agg(two.alias("two"), F.min("id").alias("first_id"), rows).where("two").drop("two"))
+    total = lines.count()
+    found = cut(marked(lines, classes, by, classes.count(), total).distinct())
     alike = [*by, "own"]
-    ones = cut(found.groupBy(*alike).agg(F.min(F.struct("id", "ent")).alias("a")))
+    ones = cut(found.groupBy(*alike).agg(F.min(F.struct("id", "ent")).alias("a"), rows))
     n = ones.count()
-    with_first = marked(found, ones, alike, n)
+    with_first = marked(found, ones, alike, n, total)
     others = with_first.where(F.col("ent") != F.col("a.ent")).groupBy(*alike).agg(F.min("id").alias("b"))
     pairs = cut(ones.join(others, alike, "left"))
     kept = F.col("b").isNull() | (F.col("id") == F.col("a.id")) | (F.col("id") == F.col("b"))
-    return cut(marked(found, pairs, alike, n).withColumn("kept", kept).drop("a", "b"))
+    return cut(marked(found, pairs, alike, n, total).withColumn("kept", kept).drop("a", "b"))
 
 
 # --- windows ---------------------------------------------------------------------------------------------------------
@@ -257,8 +262,9 @@ class Shared:
         open_texts = _with_lists(texts, cut(out), "left").select("record_table", "id", "ent", "text", "left_out")
         rows = cut(open_texts.mapInArrow(lambda b: _anchor_rows(b, SPAN, GRAM), "record_table string, id long, ent long, anchor long"))
         two = F.min("ent") < F.max("ent")
-        shared = cut(rows.groupBy("record_table", "anchor").agg(two.alias("two")).where("two").select("record_table", "anchor"))
-        found = marked(rows, shared, ["record_table", "anchor"], shared.count())
+        n_rows = F.count(F.lit(1)).alias("n_rows")
+        shared = cut(rows.groupBy("record_table", "anchor").agg(two.alias("two"), n_rows).where("two").drop("two"))
+        found = marked(rows, shared, ["record_table", "anchor"], shared.count(), rows.count())
         lists = cut(found.groupBy("record_table", "id").agg(F.collect_set("anchor").alias("anchors")))
         ids = lists.select("record_table", "id")
         if lists.count() * RECORD_BYTES <= BROADCAST_BYTES:
@@ -270,8 +276,9 @@ class Shared:
             )
         )
         by = ["record_table", "h", "g"]
-        twice = cut(windows.groupBy(*by).agg(two.alias("two"), F.min("id").alias("first_id")).where("two").drop("two"))
-        self.windows = marked(windows, twice, by, twice.count())
+        twice = cut(windows.groupBy(*by).agg(two.alias("two"), F.min("id").alias("first_id"), n_rows).where("two").drop("two"))
+        self.total = windows.count()
+        self.windows = marked(windows, twice, by, twice.count(), self.total)
 
     def classes(self) -> DataFrame:
         """(record_table, class_id, record_id, ent): each set of records that share a span once, with its records.
@@ -279,17 +286,20 @@ class Shared:
         A long shared span has many windows with the same records. Of the windows with the same records and lines, known by
         their number and two sums of hashes, one is used; then the other records of its lines are added.
         """
-        kept = self.lines.where("kept").select("record_table", "id", "start", "end", "n1", "n2", "own")
-        inside = (F.col("pos") >= F.col("start")) & (F.col("pos") + SPAN <= F.col("end"))
-        line = F.max(F.when(inside, F.struct("n1", "n2", "own"))).alias("line")
-        w = self.windows.join(kept, ["record_table", "id"], "left").groupBy("record_table", "h", "g", "id", "ent").agg(line)
-        own = F.xxhash64("id", "line")
-        marks = [F.count(F.lit(1)), F.min("id"), F.max("id"), F.sum(F.shiftright(own, 16)), F.bit_xor(own), F.bit_xor(F.xxhash64("line", "id", F.lit(1)))]
+        names = ["n1", "n2", "own"]
+        more = self.lines.where("not kept").select("record_table", *names, "id", "ent")
+        kept = self.lines.where("kept").join(more.select("record_table", *names).distinct(), ["record_table", *names], "left_semi")
+        kept = kept.select(F.col("record_table").alias("of_table"), F.col("id").alias("of_id"), "start", "end", *names)
+        inside = (F.col("record_table") == F.col("of_table")) & (F.col("id") == F.col("of_id")) & (F.col("pos") >= F.col("start")) & (F.col("pos") + SPAN <= F.col("end"))
+        w = cut(self.windows.join(kept, inside, "left").select("record_table", "h", "g", "id", "ent", *names).distinct())
+        own = F.xxhash64("id", *names)
+        marks = [F.count(F.lit(1)), F.min("id"), F.max("id"), F.sum(F.shiftright(own, 16)), F.bit_xor(own), F.bit_xor(F.xxhash64(*names, "id", F.lit(1)))]
         sets = w.groupBy("record_table", "h", "g").agg(*[m.alias(f"m{i}") for i, m in enumerate(marks)])
-        one = cut(sets.groupBy("record_table", *[f"m{i}" for i in range(len(marks))]).agg(F.min(F.struct("h", "g")).alias("one")).select("record_table", "one.h", "one.g"))
-        used = cut(marked(w, one, ["record_table", "h", "g"], one.count()).withColumn("class_id", F.xxhash64("record_table", "h", "g")))
-        more = self.lines.where("not kept").select("record_table", F.struct("n1", "n2", "own").alias("line"), "id", "ent")
-        added = used.where("line is not null").select("record_table", "class_id", "line").distinct().join(more, ["record_table", "line"])
+        # of the windows with one set, the one with the smallest names: by h, and of equal h by g
+        low = sets.groupBy("record_table", *[f"m{i}" for i in range(len(marks))]).agg(F.min("h").alias("h"))
+        one = cut(sets.join(low, ["record_table", *[f"m{i}" for i in range(len(marks))], "h"], "left_semi").select("record_table", "h", "g", F.col("m0").alias("n_rows")))
+        used = cut(marked(w, one, ["record_table", "h", "g"], one.count(), self.total).withColumn("class_id", F.xxhash64("record_table", "h", "g")))
+        added = used.where("n1 is not null").select("record_table", "class_id", *names).distinct().join(more, ["record_table", *names])
         both = used.select("record_table", "class_id", "id", "ent").unionByName(added.select("record_table", "class_id", "id", "ent"))
         return both.distinct().withColumnRenamed("id", "record_id")
 
