@@ -107,6 +107,13 @@ def place_of(text: Column, pattern: str) -> Column:
     return F.when(F.size(parts) > 1, F.length(parts[0]) + 1).otherwise(0)
 
 
+def last_place_of(text: Column, pattern: str) -> Column:
+    """Where a pattern last begins, from 1, or 0, in characters."""
+    mark = "\ue0fe"
+    parts = F.split(F.regexp_replace(text, f"(?={pattern})", mark), mark)
+    return F.when(F.size(parts) > 1, F.length(text) - F.length(F.element_at(parts, -1)) + 1).otherwise(0)
+
+
 _HEADINGS = {"main": "主[ 　]*文", "fact": "(?:犯[ 　]*罪[ 　]*)?事[ 　]*實", "reason": "(?:(?:犯[ 　]*罪[ 　]*)?事[ 　]*實[ 　]*(?:及|與)[ 　]*)?理[ 　]*由(?:[ 　]*要[ 　]*領)?"}
 
 

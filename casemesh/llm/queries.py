@@ -4,8 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import Window as W
 
-from casemesh.llm import lines, mixing, neighbours, packing, pieces, private, spans, stuffing
+from casemesh.llm import lines, mixing, neighbours, packing, pieces, private, spans, stuffing, tokens
+from casemesh.operators.durable import cut
 from casemesh.plans.registry import Registry
 from casemesh.sources.tables import load
 
@@ -81,6 +83,27 @@ def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.withColumn("citation_ids", F.concat_ws(",", F.transform("citation_ids", lambda x: x.cast("string"))))
 
 
+@REGISTRY.query(
+    "p3_checks",
+    """WITH i AS (SELECT DISTINCT 'decisions' AS item_table, id AS item_id, length(clean_text) AS n_chars FROM decisions WHERE length(clean_text) > 2000
+ UNION SELECT DISTINCT 'chunks', id, length(chunk_text) FROM chunks WHERE length(chunk_text) > 2000)
+SELECT item_table, item_id, n_chars, true AS begins_and_ends, true AS within_limit, true AS numbered, true AS overlaps FROM i""",
+)
+def p3_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the pieces of each item: from its start to its end, none over the limit, numbered through, each sharing 200 with the one before."""
+    out = pieces.pieces(pieces.oversized(load(spark, sf_dir, "decisions"), load(spark, sf_dir, "chunks")))
+    order = W.partitionBy("item_table", "item_id").orderBy("piece_no")
+    p = out.withColumns({"before": F.lag("end_pos").over(order), "size": F.length("piece_text")})
+    shared = F.col("before").isNull() | (F.col("start_pos") == F.col("before") - pieces.OVERLAP)
+    return p.groupBy("item_table", "item_id").agg(
+        F.max("end_pos").cast("long").alias("n_chars"),
+        ((F.min("start_pos") == 0) & (F.max("end_pos") == F.max_by("end_pos", "piece_no"))).alias("begins_and_ends"),
+        F.bool_and((F.col("size") <= pieces.LIMIT) & (F.col("size") == F.col("end_pos") - F.col("start_pos"))).alias("within_limit"),
+        ((F.min("piece_no") == 1) & (F.max("piece_no") == F.count(F.lit(1)))).alias("numbered"),
+        F.bool_and(shared).alias("overlaps"),
+    )
+
+
 @REGISTRY.query("p6_found")
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     chunks = load(spark, sf_dir, "chunks")
@@ -137,6 +160,25 @@ def p8_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.fill_report(packing.filled(load(spark, sf_dir, "documents")))
 
 
+@REGISTRY.query(
+    "p8_checks",
+    "SELECT count(DISTINCT doc_id) AS n_pages, 0 AS n_overfull, 0 AS n_divided_small, 0 AS n_incomplete, true AS few_more_than_least FROM documents WHERE doc_id IS NOT NULL",
+)
+def p8_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What must hold of the containers: none too full, no page divided that fits one, every page whole, at most 2 % (and one) more than the least number."""
+    items = cut(packing.filled(load(spark, sf_dir, "documents")))
+    sized = tokens.token_counts(load(spark, sf_dir, "documents")).withColumnRenamed("n_tokens", "size")
+    pages = items.groupBy("doc_id").agg(F.sum("n_tokens").alias("n"), F.count(F.lit(1)).alias("pieces")).join(sized, "doc_id", "full")
+    counted = pages.agg(
+        F.count(F.lit(1)).alias("n_pages"),
+        F.count_if((F.col("pieces") > 1) & (F.col("size") <= packing.CAPACITY)).cast("int").alias("n_divided_small"),
+        F.count_if(~F.col("n").eqNullSafe(F.col("size"))).cast("int").alias("n_incomplete"),
+    )
+    r = packing.fill_report(items)
+    full = items.groupBy("bin_id").agg(F.sum("n_tokens").alias("used")).agg(F.count_if(F.col("used") > packing.CAPACITY).cast("int").alias("n_overfull"))
+    return counted.crossJoin(full).crossJoin(r.select((F.col("n_bins") <= F.col("least_bins") * 1.02 + 1).alias("few_more_than_least")))  # single rows
+
+
 def _mixed(spark: SparkSession, sf_dir: str, exact: bool = False) -> tuple[DataFrame, DataFrame]:
     return mixing.mixed(load(spark, sf_dir, "documents"), load(spark, sf_dir, "mix_targets"), exact=exact)
 

@@ -69,6 +69,23 @@ def chunk_rows(decisions: DataFrame, citations: DataFrame) -> DataFrame:
     return _chunks(decisions, citations).drop("start", "end")
 
 
+def rebuilt(chunks: DataFrame, decisions: DataFrame, citations: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:
+    """Chunks after a rebuild of all rulings or of those of a month (by decision_date); the others' chunks stay.
+
+    New chunks have the columns of chunk_rows, and a null embedding and id where the old ones have them.
+    """
+    part = decisions
+    if year is not None and month is not None:
+        first = F.make_date(F.lit(year), F.lit(month), F.lit(1))
+        part = decisions.where((F.col("decision_date") >= first) & (F.col("decision_date") < F.add_months(first, 1)))
+    made = chunk_rows(part.select("id", "clean_text"), citations.select("id", "source_id", "match_start", "match_end", "snippet"))
+    targets = citations.select(F.col("id").alias("citation_id"), "target_id", "target_authority_id") if "target_id" in citations.columns else None
+    made = made.join(targets, "citation_id", "left") if targets is not None else made
+    kept = chunks.join(part.select(F.col("id").alias("decision_id")), "decision_id", "left_anti") if part is not decisions else chunks.limit(0)
+    shown = [F.col(c).cast(f.dataType).alias(c) if c in made.columns else F.lit(None).cast(f.dataType).alias(c) for c, f in ((f.name, f) for f in chunks.schema)]
+    return kept.select(*chunks.columns).unionByName(made.select(*shown))
+
+
 def chunk_quality(chunks: DataFrame, citations: DataFrame) -> DataFrame:
     """One row: chunks, those with their citation inside, those with the snippet's first 80 signs inside, and lengths."""
     c = citations.select(F.col("id").alias("citation_id"), "match_start", "match_end", "snippet")

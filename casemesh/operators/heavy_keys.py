@@ -22,6 +22,7 @@ BLOCK_BITS = 8
 SPLIT_ROWS = 1_000_000
 SALTS = 32
 
+_FIELDS = ("target_id", "target_authority_id")
 _MEASURES = ("n_rows", "n_edges", "n_sources")
 _BLOCK = "field int, block long, salt int, keys array<long>, n_rows array<long>, n_edges array<long>, n_sources array<long>"
 
@@ -98,6 +99,27 @@ def _reduce(blocks: DataFrame, *by: str) -> DataFrame:
     return blocks.repartition(*by).sortWithinPartitions("field", "block").mapInArrow(lambda b: _add_blocks(b, True), _BLOCK)
 
 
+def _keys(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each of the two fields that has a key."""
+    fields = F.array(*[F.struct(F.lit(i).alias("field"), F.col(c).alias("key")) for i, c in enumerate(_FIELDS)])
+    return rows.select(*columns, F.explode(fields).alias("k")).where("k.key is not null")
+
+
+def _totals(blocks: DataFrame, *measures: str) -> DataFrame:
+    """Blocks of splits to one row per key."""
+    total = _reduce(_reduce(blocks, "field", "block", "salt"), "field", "block")
+    each = total.select("field", F.explode(F.arrays_zip(F.col("keys").alias("k"), *[F.col(m) for m in measures])).alias("x"))
+    name = F.when(F.col("field") == 0, _FIELDS[0]).otherwise(_FIELDS[1])
+    return each.select(name.alias("key_field"), F.col("x.k").alias("key_value"), *[F.col(f"x.{m}").alias(m) for m in measures])
+
+
+def row_counts(citations: DataFrame) -> DataFrame:
+    """(key_field, key_value, n_rows): delivered rows by key. Nothing but array blocks is shuffled."""
+    zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
+    rows = _keys(citations).select("k.field", "k.key", one.alias("n_rows"), zero.alias("n_edges"), zero.alias("n_sources"))
+    return _totals(rows.mapInArrow(_split_sums, _BLOCK), "n_rows")
+
+
 def key_counts(citations: DataFrame) -> DataFrame:
     """(key_field, key_value, n_rows, n_edges, n_sources) of every cited ruling and authority.
 
@@ -105,37 +127,17 @@ def key_counts(citations: DataFrame) -> DataFrame:
     n_sources distinct non-null sources. Null keys are no keys; rows with null ids count as the records that their other
     columns make them. An empty table gives no rows.
     """
-    records = cut(
-        citations.groupBy("id", "source_id", "target_id", "target_authority_id").agg(F.count(F.lit(1)).alias("n_rows"))
-    )
-    keys = records.select(
-        "source_id",
-        "n_rows",
-        F.explode(
-            F.array(
-                F.struct(F.lit(0).alias("field"), F.col("target_id").alias("key")),
-                F.struct(F.lit(1).alias("field"), F.col("target_authority_id").alias("key")),
-            )
-        ).alias("k"),
-    ).where("k.key is not null")
+    records = cut(citations.groupBy("id", "source_id", *_FIELDS).agg(F.count(F.lit(1)).alias("n_rows")))
+    keys = _keys(records, "source_id", "n_rows")
     zero, one = F.lit(0).cast("long"), F.lit(1).cast("long")
     edges = keys.select("k.field", "k.key", "n_rows", one.alias("n_edges"), zero.alias("n_sources"))
     # a pair of key and source is no hot key: copies of it are dropped before the shuffle
     pairs = keys.where("source_id is not null").select("k.field", "k.key", "source_id").distinct()
     sources = pairs.select("field", "key", zero.alias("n_rows"), zero.alias("n_edges"), one.alias("n_sources"))
-    blocks = edges.mapInArrow(_split_sums, _BLOCK).unionByName(sources.mapInArrow(_split_sums, _BLOCK))
-    total = _reduce(_reduce(blocks, "field", "block", "salt"), "field", "block")
-    each = total.select(
-        "field", F.explode(F.arrays_zip(F.col("keys").alias("k"), *[F.col(m) for m in _MEASURES])).alias("x")
-    )
-    return each.select(
-        F.when(F.col("field") == 0, "target_id").otherwise("target_authority_id").alias("key_field"),
-        F.col("x.k").alias("key_value"),
-        *[F.col(f"x.{m}").alias(m) for m in _MEASURES],
-    )
+    return _totals(edges.mapInArrow(_split_sums, _BLOCK).unionByName(sources.mapInArrow(_split_sums, _BLOCK)), *_MEASURES)
 
 
 def heavy_keys(citations: DataFrame, share: float = 0.02) -> DataFrame:
-    """The keys that hold at least a share of all delivered rows, rows without that key included. None in an empty table."""
+    """The keys (key_field, key_value, n_rows) that hold at least a share of all delivered rows, rows without that key included. None in an empty table."""
     total = citations.count()
-    return key_counts(citations).where(F.col("n_rows") >= F.lit(share) * F.lit(total))
+    return row_counts(citations).where(F.col("n_rows") >= F.lit(share) * F.lit(total))

@@ -28,23 +28,17 @@ def truncated(v: Column, size: int) -> Column:
 
 
 def cosines(queries: np.ndarray):
-    """A column function: the cosines of a vector with each of few query vectors, in blocks; null for unusable vectors."""
+    """A column function: the cosines of a vector with each of few query vectors; null for unusable vectors. Arrow batches in and out."""
     q = np.asarray(queries, dtype=np.float64).reshape(-1, np.shape(queries)[-1])
     q = q / np.maximum(np.linalg.norm(q, axis=1), 1e-300)[:, None]
 
-    @F.pandas_udf("array<double>")
-    def f(v: pd.Series) -> pd.Series:
-        ok = v.map(lambda x: x is not None and len(x) == q.shape[1]).to_numpy(dtype=bool)
-        out = pd.Series([None] * len(v), index=v.index, dtype=object)
-        if ok.any():
-            x = np.stack([np.asarray(e, dtype=np.float64) for e in v[ok]])
-            n = np.linalg.norm(x, axis=1)
-            s = (x / np.where(n == 0, 1, n)[:, None]) @ q.T
-            values = [row if m > 0 else None for row, m in zip(s, n, strict=True)]
-            out[ok] = pd.Series(values, index=v.index[ok], dtype=object)
-        return out
+    def f(v: pa.Array) -> pa.Array:
+        x, ok = _usable(v, q.shape[1])
+        offsets = np.concatenate([[0], np.cumsum(np.where(ok, len(q), 0))]).astype(np.int32)
+        return pa.ListArray.from_arrays(pa.array(offsets), pa.array((x[ok] @ q.T).ravel()), mask=pa.array(~ok))
 
-    return f
+    f.__annotations__ = {"v": pa.Array, "return": pa.Array}
+    return F.arrow_udf(f, "array<double>")
 
 
 def nearest_chunks(chunks: DataFrame, query: list[float], top: int = TOP) -> DataFrame:
@@ -144,6 +138,27 @@ def embedded(texts: DataFrame, embed, batch: int = 64) -> DataFrame:
     return texts.select("text_hash", "text").mapInPandas(rows, "text_hash string, embedding array<double>")
 
 
+def embed_missing(chunks: DataFrame, embed, path: str, model: str, batch: int = 64) -> DataFrame:
+    """Vectors (text_hash, embedding) of all texts by a model, those that are missing under path made and added.
+
+    A run that was broken off goes on where it ended: what has been written isn't made again. Files are by model.
+    """
+    spark = chunks.sparkSession
+    at = f"{path}/model={model}"
+    texts = chunks.where("chunk_text is not null").select(F.md5("chunk_text").alias("text_hash"), F.col("chunk_text").alias("text")).dropDuplicates(["text_hash"])
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    if target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(target):
+        texts = texts.join(spark.read.schema("text_hash string, embedding array<double>").parquet(at).select("text_hash"), "text_hash", "left_anti")
+    embedded(texts, embed, batch).sortWithinPartitions("text_hash").write.mode("append").parquet(at)
+    return spark.read.schema("text_hash string, embedding array<double>").parquet(at)
+
+
+def pending_after(chunks: DataFrame, last_hash: str | None, number: int) -> DataFrame:
+    """The next texts without vector in the order of their hashes, after the last one that was done: (text_hash, n_chunks, first_id)."""
+    p = pending(chunks)
+    return (p if last_hash is None else p.where(F.col("text_hash") > last_hash)).orderBy("text_hash").limit(number)
+
+
 def rollup(chunks: DataFrame) -> DataFrame:
     """(decision_id, text_hash, n_citations, targets): chunks that share a text as one, with the rulings that they cite."""
     return chunks.groupBy("decision_id", F.md5("chunk_text").alias("text_hash")).agg(

@@ -13,8 +13,10 @@ SNIPPETS = 8
 
 def with_target_uid(citations: DataFrame, decisions: DataFrame) -> DataFrame:
     """Adds target_uid: 'decision:<canonical id>' or 'authority:<id>'; edges without any target are left out."""
-    to = decisions.select(F.col("id").alias("target_id"), F.col("canonical_id").alias("to_canonical"))
-    joined = citations.join(to, "target_id", "left")
+    # most rulings are their own canonical ruling and need no join; so the joined side is small, and a target that very many
+    # edges have in common is either not in it or spread by adaptive execution, which reads the edges by their splits
+    moved = decisions.where("canonical_id is not null and canonical_id <> id").select(F.col("id").alias("target_id"), F.col("canonical_id").alias("to_canonical"))
+    joined = citations.join(moved, "target_id", "left")
     ruling = F.coalesce("to_canonical", "target_id")
     uid = F.when(ruling.isNotNull(), F.concat(F.lit("decision:"), ruling.cast("string"))).when(
         F.col("target_authority_id").isNotNull(), F.concat(F.lit("authority:"), F.col("target_authority_id").cast("string"))

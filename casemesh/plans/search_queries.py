@@ -360,13 +360,8 @@ def _register_previews(authority: bool) -> None:
         c, _, sources = _target(spark, sf_dir, authority)
         return V.others(c, sources)
 
-    @q("preview_more" + tail, sql + "SELECT id, source_id, score FROM bs WHERE source_id IN (SELECT source_id FROM r) AND source_id % 10 <> 2 ORDER BY score DESC, source_id LIMIT 10")
+    @q("preview_more" + tail, sql + ", five AS (SELECT DISTINCT source_id FROM p WHERE source_id IN (SELECT source_id FROM r) ORDER BY source_id LIMIT 5) SELECT id, source_id, score FROM bs WHERE source_id IN (SELECT source_id FROM r) AND source_id NOT IN (SELECT source_id FROM five) ORDER BY score DESC, source_id LIMIT 10")
     def preview_more(spark: SparkSession, sf_dir: str) -> DataFrame:
-        c, s, sources = _target(spark, sf_dir, authority)
-        return V.more(V.scored(c, s, SPEC), sources.where("source_id % 10 <> 2"), (), 10).select("id", "source_id", "score")
-
-    @q("preview_more_loaded" + tail, sql + ", five AS (SELECT DISTINCT source_id FROM p WHERE source_id IN (SELECT source_id FROM r) ORDER BY source_id LIMIT 5) SELECT id, source_id, score FROM bs WHERE source_id IN (SELECT source_id FROM r) AND source_id NOT IN (SELECT source_id FROM five) ORDER BY score DESC, source_id LIMIT 10")
-    def preview_more_loaded(spark: SparkSession, sf_dir: str) -> DataFrame:
         """Of all recalled sources but those that preview_matched shows."""
         c, s, sources = _target(spark, sf_dir, authority)
         loaded = tuple(r[0] for r in preview_matched(spark, sf_dir).select("source_id").collect())  # at most five

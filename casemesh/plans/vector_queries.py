@@ -124,20 +124,9 @@ def embed_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @q(
     "embed_writeback",
-    PRE + "SELECT p.id, round(CAST(v.embedding[1] AS DOUBLE), 4) AS first FROM k p JOIN (SELECT md5(chunk_text) AS h, arg_min(embedding, id) AS embedding FROM k WHERE embedding IS NOT NULL AND id % 2 = 0 GROUP BY 1) v ON md5(p.chunk_text) = v.h WHERE p.embedding IS NULL OR p.id % 2 = 1",
-)
-def embed_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """As if every other vector were still missing."""
-    k = thin(spark, sf_dir, "chunks", "chunk_text", "embedding")
-    k = k.withColumn("embedding", F.when(F.col("id") % 2 == 0, F.col("embedding")))
-    return E.written_back(k, E.known_vectors(k)).select("id", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
-
-
-@q(
-    "embed_writeback_pending",
     PRE + "SELECT p.id, round(CAST(v.embedding[1] AS DOUBLE), 4) AS first FROM k p JOIN (SELECT md5(chunk_text) AS h, arg_min(embedding, id) AS embedding FROM k WHERE embedding IS NOT NULL GROUP BY 1) v ON md5(p.chunk_text) = v.h WHERE p.embedding IS NULL",
 )
-def embed_writeback_pending(spark: SparkSession, sf_dir: str) -> DataFrame:
+def embed_writeback(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The chunks that have no vector, from all that have one."""
     k = thin(spark, sf_dir, "chunks", "chunk_text", "embedding")
     return E.written_back(k, E.known_vectors(k)).select("id", F.round(F.col("embedding")[0].cast("double"), 4).alias("first"))
@@ -154,30 +143,17 @@ def _measures(spark: SparkSession, sf_dir: str, queries: str) -> DataFrame:
     return E.label_measures(e, e.where(queries))
 
 
-_SIM = "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS related, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id < 20 AND a.vec_id <> b.vec_id)\n"
+_SIM = "WITH s AS (SELECT a.vec_id AS query_id, b.vec_id AS id, a.label = b.label AS related, list_cosine_similarity(CAST(a.embedding AS DOUBLE[]), CAST(b.embedding AS DOUBLE[])) AS similarity FROM embeddings a, embeddings b WHERE a.vec_id % 20 = 0 AND a.vec_id <> b.vec_id)\n"
 
 
 @q("embed_gap", _SIM + "SELECT query_id, round(avg(similarity) FILTER (related) - avg(similarity) FILTER (NOT related), 4) AS gap FROM s GROUP BY 1")
 def embed_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _measures(spark, sf_dir, "id < 20").select("query_id", F.round("gap", 4).alias("gap"))
-
-
-@q("recall_at_5", _SIM + "SELECT query_id, round(CAST(count(*) FILTER (related AND rn <= 5) AS DOUBLE) / count(*) FILTER (related), 4) AS recall FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, id) AS rn FROM s) GROUP BY 1")
-def recall_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _measures(spark, sf_dir, "id < 20").select("query_id", F.round("recall", 4).alias("recall"))
-
-
-_SIM_ALL = _SIM.replace("a.vec_id < 20", "a.vec_id % 20 = 0")
-
-
-@q("embed_gap_all", _SIM_ALL + "SELECT query_id, round(avg(similarity) FILTER (related) - avg(similarity) FILTER (NOT related), 4) AS gap FROM s GROUP BY 1")
-def embed_gap_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every id divisible by 20 against all rows."""
     return _measures(spark, sf_dir, "id % 20 = 0").select("query_id", F.round("gap", 4).alias("gap"))
 
 
-@q("recall_at_5_all", _SIM_ALL + "SELECT query_id, round(CAST(count(*) FILTER (related AND rn <= 5) AS DOUBLE) / count(*) FILTER (related), 4) AS recall FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, id) AS rn FROM s) GROUP BY 1")
-def recall_at_5_all(spark: SparkSession, sf_dir: str) -> DataFrame:
+@q("recall_at_5", _SIM + "SELECT query_id, round(CAST(count(*) FILTER (related AND rn <= 5) AS DOUBLE) / count(*) FILTER (related), 4) AS recall FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY round(similarity, 6) DESC, id) AS rn FROM s) GROUP BY 1")
+def recall_at_5(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every id divisible by 20 against all rows."""
     return _measures(spark, sf_dir, "id % 20 = 0").select("query_id", F.round("recall", 4).alias("recall"))
 

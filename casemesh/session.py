@@ -5,20 +5,21 @@ from __future__ import annotations
 from pyspark.sql import SparkSession
 
 
-def get_session(cpus: str | int = "*", memory: str = "8g", shuffle_partitions: int = 8) -> SparkSession:
-    """A local session with the settings that a cluster session should have as well."""
-    spark = (
-        SparkSession.builder.master(f"local[{cpus}]")
-        .appName("casemesh")
-        .config("spark.driver.memory", memory)
-        .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
-        .config("spark.sql.adaptive.enabled", "true")
-        .config("spark.sql.adaptive.skewJoin.enabled", "true")
-        .config("spark.sql.session.timeZone", "UTC")
-        .config("spark.sql.execution.arrow.pyspark.enabled", "true")
-        .config("spark.ui.enabled", "false")
-        .config("spark.ui.showConsoleProgress", "false")
-        .getOrCreate()
-    )
+#: Settings for any session. The number of shuffle partitions is none of them: on a cluster it follows from the data (adaptive
+#: execution only joins partitions, so it should start with more than are needed, some hundred per TB).
+SETTINGS = {
+    "spark.sql.adaptive.enabled": "true",
+    "spark.sql.adaptive.skewJoin.enabled": "true",
+    "spark.sql.session.timeZone": "UTC",
+    "spark.sql.execution.arrow.pyspark.enabled": "true",
+}
+
+
+def get_session(cpus: str | int = "*", memory: str = "8g", shuffle_partitions: int | None = 8) -> SparkSession:
+    """A local session for the bench, the tests and single machines."""
+    builder = SparkSession.builder.master(f"local[{cpus}]").appName("casemesh").config("spark.driver.memory", memory).config(map=SETTINGS)
+    if shuffle_partitions:
+        builder = builder.config("spark.sql.shuffle.partitions", str(shuffle_partitions))
+    spark = builder.config("spark.ui.enabled", "false").config("spark.ui.showConsoleProgress", "false").getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark

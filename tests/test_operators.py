@@ -195,11 +195,61 @@ def test_nearest_of_queries(spark, monkeypatch, block):
 
 
 def test_writeback_of_pending(spark, tmp_path):
-    from casemesh.plans.vector_queries import embed_writeback_pending
+    from casemesh.plans.vector_queries import embed_writeback
 
     rows = [(1, "a", [0.5]), (2, "a", None), (3, "b", [0.25]), (4, "b", [0.75]), (5, "b", None), (6, "c", None), (7, "d", [1.0])]
     spark.createDataFrame(rows, "id long, chunk_text string, embedding array<float>").write.parquet(f"{tmp_path}/chunks.parquet")
-    assert {tuple(r) for r in embed_writeback_pending(spark, str(tmp_path)).collect()} == {(2, 0.5), (5, 0.25)}
+    assert {tuple(r) for r in embed_writeback(spark, str(tmp_path)).collect()} == {(2, 0.5), (5, 0.25)}
+
+
+def test_vectors_that_were_made_are_kept(spark, tmp_path):
+    made = []
+    at = str(tmp_path)
+    k = spark.createDataFrame([(1, "a", None), (2, "a", None), (3, "b", None), (4, None, None), (5, "c", [1.0])], "id long, chunk_text string, embedding array<float>")
+
+    def embed(texts):
+        with open(f"{at}/asked", "a") as f:
+            f.write("".join(texts))
+        return [[3.0, 4.0] for _ in texts]
+
+    assert semantic.embed_missing(k.where("id < 3"), embed, at, "m").count() == 1
+    assert sorted(open(f"{at}/asked").read()) == ["a"] and made == []
+    v = semantic.embed_missing(k, embed, at, "m")
+    assert v.count() == 3 and sorted(open(f"{at}/asked").read()) == ["a", "b", "c"] and list(v.first().embedding) == [0.6, 0.8]
+    first = semantic.pending_after(k, None, 1).first()
+    rest = semantic.pending_after(k, first.text_hash, 5).collect()
+    assert len(rest) == 1 and rest[0].text_hash > first.text_hash and first.n_chunks + rest[0].n_chunks == 3
+
+
+def test_rebuild_of_a_month(spark):
+    d = spark.createDataFrame([(1, "理由\n一、甲乙丙。", date(2024, 1, 31)), (2, "理由\n一、丁戊己。", date(2024, 2, 1)), (3, None, date(2024, 1, 5))], "id long, clean_text string, decision_date date")
+    c = spark.createDataFrame([(10, 1, 5, 6, None, 7, None), (20, 2, 5, 6, None, None, 8)], "id long, source_id long, match_start int, match_end int, snippet string, target_id long, target_authority_id long")
+    k = spark.createDataFrame([(100, 1, 10, "old", [1.0]), (200, 2, 20, "stays", [2.0])], "id long, decision_id long, citation_id long, chunk_text string, embedding array<float>")
+    out = {r.decision_id: (r.id, r.chunk_text) for r in chunking.rebuilt(k, d, c, 2024, 1).collect()}
+    assert out == {1: (None, "一、甲乙丙。"), 2: (200, "stays")}
+    assert {r.decision_id: r.id for r in chunking.rebuilt(k, d, c).collect()} == {1: None, 2: None}
+
+
+@pytest.mark.parametrize(
+    ("text", "want"),
+    [
+        ("一、原告主張略以：依X", True), ("一、原告主張：甲。\n二、本院之判斷：依X", False), ("一、原告主張：甲。\n二、按依X", False), ("二、本院之判斷：\n㈠上訴意旨略以：依X", True), ("依X", False), ("𠮷一、被告則以依X", True),
+    ],
+)
+def test_older_conditions(spark, text, want):
+    from casemesh.operators import guards
+
+    df = spark.createDataFrame([(text, text.index("X"))], "text string, at int")
+    assert df.select(guards.in_party_section(F.col("text"), F.col("at"))).first()[0] == want
+
+
+def test_claims_and_intent(spark):
+    from casemesh.operators import guards
+
+    one = lambda c: spark.range(1).select(c).first()[0]
+    assert one(guards.claim_snippet(F.lit("依A號判決云云。"), F.lit("A號"))) and not one(guards.claim_snippet(F.lit("主張云云，惟A號判決參照。"), F.lit("A號")))
+    assert one(guards.claim_snippet(F.lit("依A號判決云云，並非可採。"), F.lit("A號"))) and not one(guards.claim_snippet(F.lit(None).cast("string"), F.lit("A號")))
+    assert not one(guards.lacks_intent(F.lit("A號判決意旨參照"), F.lit(2))) and one(guards.lacks_intent(F.lit("A號判決在一二三四五六七八九十參照"), F.lit(2)))
 
 
 def test_text_columns(spark):

@@ -70,4 +70,4 @@ def test_all_marks_are_shown(spark, data):
 @pytest.mark.parametrize("tail", ["", "_auth"])
 def test_more_is_without_the_loaded(spark, data, tail):
     of = lambda name: {r.source_id for r in QUERIES[name + tail](spark, data).collect()}
-    assert of("preview_matched") and not of("preview_more_loaded") & of("preview_matched")
+    assert of("preview_matched") and not of("preview_more") & of("preview_matched")

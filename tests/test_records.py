@@ -40,6 +40,12 @@ def test_key_counts_hot_key_copies_nulls(spark, monkeypatch, split_rows):
     assert got == brute_counts(rows)
 
 
+def test_row_counts_are_those_of_all_measures(spark):
+    rows = [(i, i % 5, 7 if i % 3 == 0 else i % 11, None, i % 4 if i % 2 else None, None) for i in range(300)] * 2
+    df = cites(spark, rows)
+    assert {tuple(r) for r in H.row_counts(df).collect()} == {tuple(r)[:3] for r in H.key_counts(df).collect()}
+
+
 def test_key_counts_extreme_keys(spark):
     rows = [(i, 1, k, None, None, None) for i, k in enumerate((2**63 - 1, -(2**63), 0, -1, 255, 256))]
     assert {tuple(r) for r in H.key_counts(cites(spark, rows)).collect()} == brute_counts(rows)
@@ -75,13 +81,15 @@ def test_orphans_heavy_and_light(spark, monkeypatch, part):
     refs += refs[:40]
     targets = [(k, t(k, 1)) for k in range(0, 37, 2)] + [(4, t(0)), (6, None), (1, t(30))]
     removed = [3, 5, 5, 4, None]
+    other = [(i, 2 if i % 2 else 999, t(3)) for i in range(40)]
     got = O.orphans(
-        spark.createDataFrame(refs, "row_id long, key long, created_at timestamp_ntz"),
+        spark.createDataFrame([("a", *r) for r in refs] + [("b", *r) for r in other], "field string, row_id long, key long, created_at timestamp_ntz"),
         spark.createDataFrame(targets, "key long, since timestamp_ntz"),
         spark.createDataFrame([(k,) for k in removed], "key long"),
-        len(refs),
+        len(refs) + len(other),
     )
-    assert {tuple(r) for r in got.collect()} == brute_orphans(refs, targets, removed)
+    want = {("a", *r) for r in brute_orphans(refs, targets, removed)} | {("b", *r) for r in brute_orphans(other, targets, removed)}
+    assert {tuple(r) for r in got.collect()} == want and len({r[0] for r in want}) == 2
 
 
 def test_reference_orphans_jids_are_normalised_and_tables_may_be_empty(spark):
