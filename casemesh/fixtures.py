@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession
 
 from casemesh.sources.tables import views
@@ -47,5 +49,25 @@ def texts(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
     return spark.sql(f"SELECT *, {TEXTS[kind]} AS text FROM ({BASE})")
 
 
+def parts(kind: str) -> list[str]:
+    """The parts of BASE that a kind's texts are made of."""
+    return [p for p in ("flag", "jyear", "jno", "art", "item") if re.search(rf"\b{p}\b", TEXTS[kind])]
+
+
+def rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(id, flag, jyear, jno, art, item)."""
+    views(spark, sf_dir, "lineitem")
+    return spark.sql(BASE)
+
+
+def different(spark: SparkSession, sf_dir: str, kind: str) -> DataFrame:
+    """(parts..., text): the texts of all rows, those of the same parts once.
+
+    In as many partitions as shuffles have: few bytes, but long to parse, so adaptive execution mustn't join them.
+    """
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return rows(spark, sf_dir).select(*parts(kind)).distinct().repartition(n).selectExpr("*", f"{TEXTS[kind]} AS text")
+
+
 def sql(kind: str) -> str:
     return f"WITH f AS (SELECT *, {TEXTS[kind]} AS text FROM ({BASE}))\n"

@@ -5,7 +5,7 @@ so that each can be counted and changed by itself.
 """
 
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterator, Sequence
 from dataclasses import astuple
 
 import pandas as pd
@@ -102,10 +102,15 @@ def reject_reason() -> Column:
     return F.coalesce(*[F.when(cond, F.lit(name)) for name, cond in rules])
 
 
-def judged(texts: DataFrame, targets: frozenset[str] = C.TARGET_COURTS) -> DataFrame:
-    """Proposals of (id, text, court, own_court, own_jyear, own_jcase, own_jno) with reject_reason and target_case_type, in one pass over the texts."""
+def judged(texts: DataFrame, targets: frozenset[str] = C.TARGET_COURTS, also: Sequence[str] = ()) -> DataFrame:
+    """Proposals of (id, text, court, own_court, own_jyear, own_jcase, own_jno) with reject_reason and target_case_type, in one pass over the texts.
+
+    Columns that also names are carried to each proposal of their text.
+    """
     own = [F.col(n).cast(t).alias(n) for n, t in (c.split() for c in _OWN)]
-    found = texts.select("id", "text", "court", *own).mapInArrow(lambda b: _proposal_rows(b, targets, len(_OWN)), ", ".join([_ROW, *_OWN]))
+    kinds = dict(texts.dtypes)
+    carried = [*_OWN, *(f"{n} {kinds[n]}" for n in also)]
+    found = texts.select("id", "text", "court", *own, *also).mapInArrow(lambda b: _proposal_rows(b, targets, len(carried)), ", ".join([_ROW, *carried]))
     return found.withColumns({"reject_reason": reject_reason(), "target_case_type": target_case_type(F.col("raw_match"))})
 
 

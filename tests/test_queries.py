@@ -6,8 +6,11 @@ import os
 
 import duckdb
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
+from casemesh import fixtures as X
+from casemesh.operators import extract
 
 QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
@@ -71,3 +74,27 @@ def test_all_marks_are_shown(spark, data):
 def test_more_is_without_the_loaded(spark, data, tail):
     of = lambda name: {r.source_id for r in QUERIES[name + tail](spark, data).collect()}
     assert of("preview_matched") and not of("preview_more") & of("preview_matched")
+
+
+def repeated_lines(spark, data, folder, copies):
+    """lineitem of an order's lines under so many orders."""
+    few = spark.read.parquet(f"{data}/lineitem.parquet").where("l_orderkey < 40")
+    many = few.crossJoin(spark.range(copies).withColumnRenamed("id", "copy")).withColumn("l_orderkey", F.col("l_orderkey") + F.col("copy") * 6000).drop("copy")
+    many.coalesce(2).write.parquet(f"{folder}/lineitem.parquet")
+    return few.count()
+
+
+def test_equal_texts_are_parsed_once_and_all_rows_told(spark, data, tmp_path, monkeypatch):
+    few, parsed, real = repeated_lines(spark, data, tmp_path, 50), [], extract.judged
+    monkeypatch.setattr(extract, "judged", lambda t, *a, **k: parsed.append(t.count()) or real(t, *a, **k))
+    got = sorted(map(tuple, QUERIES["authority_scan"](spark, str(tmp_path)).collect()))
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    assert got == sorted(c.execute(ORACLES["authority_scan"]).fetchall()) and len(got) == 50 * 5 * few
+    assert len(parsed) == 1 and parsed[0] <= few
+
+
+@pytest.mark.parametrize("kind", sorted(X.TEXTS))
+def test_different_texts_are_those_of_the_rows(spark, data, kind):
+    every, once = X.texts(spark, data, kind), X.different(spark, data, kind)
+    assert sorted(r.text for r in once.collect()) == sorted(r.text for r in every.select(*X.parts(kind), "text").distinct().collect())
