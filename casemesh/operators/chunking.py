@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from casemesh.parse import chunks as K
@@ -25,48 +25,75 @@ def merged_intervals(items: DataFrame, *owner: str) -> DataFrame:
     return runs.withColumns({"run_start": F.min("start").over(whole), "run_end": F.max("end").over(whole)})
 
 
-_CHUNK = "decision_id long, citation_id long, start long, end long, chunk_index long, start_offset long, end_offset long, chunk_text string"
+_BOUND = "decision_id long, id long, start long, end long"
+_CHUNK = "decision_id long, citation_id long, chunk_index long, start_offset long, end_offset long, chunk_text string"
+
+
+def _bounds(batch: pa.RecordBatch) -> Iterator[tuple[int, str, list[int], list[tuple[int, int]]]]:
+    """(decision_id, clean_text, cites) to each ruling's id and text, its citations' ids and the bounds of their chunks."""
+    owners, texts, cites = (batch.column(i) for i in range(3))
+    flat = cites.flatten()
+    fields = {flat.type.field(i).name: flat.field(i).to_pylist() for i in range(flat.type.num_fields)}
+    spans = list(zip(*(fields[k] for k in ("match_start", "match_end", "head", "length")), strict=True))
+    edges = [0, *np.cumsum(np.diff(cites.offsets.to_numpy())).tolist()]
+    for owner, text, a, b in zip(owners.to_pylist(), texts.to_pylist(), edges[:-1], edges[1:], strict=True):
+        cuts = K.Cuts(text)
+        yield owner, text, fields["id"][a:b], [cuts.bound(*cuts.span(*s)) for s in spans[a:b]]
+
+
+def _bound_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bounds of every citation's chunk."""
+    for batch in batches:
+        rows = [(owner, i, *bound) for owner, _, ids, found in _bounds(batch) for i, bound in zip(ids, found, strict=True)]
+        columns = list(zip(*rows, strict=True)) or [()] * 4
+        yield pa.RecordBatch.from_arrays([pa.array(c, type=pa.int64()) for c in columns], names=["decision_id", "id", "start", "end"])
 
 
 def _chunk_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(decision_id, clean_text, cites) to the chunk of every citation, a ruling at a time."""
+    """The chunk of every citation, a ruling at a time."""
     for batch in batches:
-        owners, texts, cites = (batch.column(i) for i in range(3))
-        sizes = np.diff(cites.offsets.to_numpy())
-        flat = cites.flatten()
-        fields = {flat.type.field(i).name: flat.field(i) for i in range(flat.type.num_fields)}
-        number = {k: fields[k].to_numpy(zero_copy_only=False).astype(np.int64) for k in ("id", "match_start", "match_end", "length")}
-        heads = fields["head"].to_pylist()
-        edges = np.append(0, np.cumsum(sizes))
-        for i, (text, a, b) in enumerate(zip(texts.to_pylist(), edges[:-1], edges[1:], strict=True)):
-            cuts = K.Cuts(text)
-            start, end = cuts.bounds(*cuts.spans(number["match_start"][a:b], number["match_end"][a:b], heads[a:b], number["length"][a:b]))
-            run, first, last = K.runs(start, end)
+        for owner, text, ids, found in _bounds(batch):
+            run, first, last = K.runs(*np.array(found, dtype=np.int64).reshape(-1, 2).T)
             parts = {(s, e): text[s:e] for s, e in zip(first.tolist(), last.tolist(), strict=True)}
-            columns = [np.repeat(owners[i].as_py(), b - a), number["id"][a:b], start, end, run, first, last]
+            columns = [np.repeat(owner, len(ids)), np.array(ids, dtype=np.int64), run, first, last]
             yield pa.RecordBatch.from_arrays(
                 [*map(pa.array, columns), pa.array([parts[k] for k in zip(first.tolist(), last.tolist(), strict=True)], type=pa.string())],
-                names=["decision_id", "citation_id", "start", "end", "chunk_index", "start_offset", "end_offset", "chunk_text"],
+                names=["decision_id", "citation_id", "chunk_index", "start_offset", "end_offset", "chunk_text"],
             )
 
 
-def _chunks(decisions: DataFrame, citations: DataFrame) -> DataFrame:
-    """Citations without offsets and rulings without text give no chunks. Of a snippet only the head and the length travel."""
-    cites = citations.where("match_start is not null and match_end is not null and source_id is not null").groupBy(F.col("source_id").alias("decision_id")).agg(
-        F.collect_list(F.struct("id", "match_start", "match_end", F.substring("snippet", 1, K.HEAD_SIGNS).alias("head"), F.coalesce(F.length("snippet"), F.lit(0)).alias("length"))).alias("cites")
-    )
+_PLACED = "match_start is not null and match_end is not null"
+
+
+def _cite() -> Column:
+    """A citation (id, match_start, match_end, snippet) as it travels: of a snippet only the head and the length."""
+    return F.struct("id", "match_start", "match_end", F.substring("snippet", 1, K.HEAD_SIGNS).alias("head"), F.coalesce(F.length("snippet"), F.lit(0)).alias("length"))
+
+
+def _cited(decisions: DataFrame, citations: DataFrame) -> DataFrame:
+    """Rulings (decision_id, clean_text) with their cites. Citations without offsets and rulings without text give no chunks."""
+    cites = citations.where(f"{_PLACED} and source_id is not null").groupBy(F.col("source_id").alias("decision_id")).agg(F.collect_list(_cite()).alias("cites"))
     texts = decisions.where("clean_text is not null").select(F.col("id").alias("decision_id"), "clean_text")
-    return texts.join(cites, "decision_id").select("decision_id", "clean_text", "cites").mapInArrow(_chunk_rows, _CHUNK)
+    return texts.join(cites, "decision_id").select("decision_id", "clean_text", "cites")
 
 
 def chunk_bounds(decisions: DataFrame, citations: DataFrame) -> DataFrame:
     """(decision_id, id, start, end): a chunk's bounds around each citation (id) of a ruling with text."""
-    return _chunks(decisions, citations).select("decision_id", F.col("citation_id").alias("id"), "start", "end")
+    return _cited(decisions, citations).mapInArrow(_bound_rows, _BOUND)
+
+
+def bounds_of_cited(texts: DataFrame) -> DataFrame:
+    """(id, start, end): the same of texts with one citation each, in rows of (id, clean_text, match_start, match_end, snippet).
+
+    Row by row: no text travels to its citation, and rows may share an id.
+    """
+    rows = texts.where(f"clean_text is not null and {_PLACED}").select(F.col("id").alias("decision_id"), "clean_text", F.array(_cite()).alias("cites"))
+    return rows.mapInArrow(_bound_rows, _BOUND).select("id", "start", "end")
 
 
 def chunk_rows(decisions: DataFrame, citations: DataFrame) -> DataFrame:
     """One row per citation (decision_id, citation_id, chunk_index, start_offset, end_offset, chunk_text); overlapping chunks are one."""
-    return _chunks(decisions, citations).drop("start", "end")
+    return _cited(decisions, citations).mapInArrow(_chunk_rows, _CHUNK)
 
 
 def rebuilt(chunks: DataFrame, decisions: DataFrame, citations: DataFrame, year: int | None = None, month: int | None = None) -> DataFrame:

@@ -98,3 +98,16 @@ def test_equal_texts_are_parsed_once_and_all_rows_told(spark, data, tmp_path, mo
 def test_different_texts_are_those_of_the_rows(spark, data, kind):
     every, once = X.texts(spark, data, kind), X.different(spark, data, kind)
     assert sorted(r.text for r in once.collect()) == sorted(r.text for r in every.select(*X.parts(kind), "text").distinct().collect())
+
+
+def test_bounds_of_texts_without_a_join_and_of_rows_that_share_an_id(spark, data, tmp_path):
+    """An order more with 60 000 000 / 2000 * 10 parts less has the same id."""
+    line = spark.read.parquet(f"{data}/lineitem.parquet").limit(1)
+    twin = line.withColumns({"l_orderkey": F.col("l_orderkey") + 1, "l_partkey": F.col("l_partkey") - 300_000})
+    line.unionByName(twin).coalesce(1).write.parquet(f"{tmp_path}/lineitem.parquet")
+    df = QUERIES["chunk_bounds_of_texts"](spark, str(tmp_path))
+    c = duckdb.connect()
+    c.execute(f"create view lineitem as select * from '{tmp_path}/lineitem.parquet/*.parquet'")
+    got = sorted(map(tuple, df.collect()))
+    assert len({r[0] for r in got}) == 1 and len(got) == 2 and got == sorted(c.execute(ORACLES["chunk_bounds_of_texts"]).fetchall())
+    assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
